@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tideline.llm import license_scan
+from tideline.llm import license_scan, quality_gbt, quality_rules
 
 QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
+    "op6_quality_classifier": quality_gbt.op6_quality_classifier,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLE_SQL = {
     "op4_license_scan": license_scan.oracle(),

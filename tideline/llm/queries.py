@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import license_scan, quality_gbt, quality_rules
+from tideline.llm import langid, license_scan, quality_gbt, quality_rules, toxicity
 
 QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_language_id": langid.op5_language_id,
     "op6_quality_classifier": quality_gbt.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
     "op4_license_scan": license_scan.oracle(),

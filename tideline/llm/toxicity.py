@@ -119,8 +119,8 @@ def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float) -> Model:
             x[i, np.searchsorted(names, r[np.isin(r, names)])] = 1
         return x
 
-    # the prior's lower confidence bound: with one above the sample's own share the risk of clean texts falls below zero for nothing
-    prior = max(prior / 2, prior - 2 * float(np.sqrt(prior * (1 - prior) / max(len(u), 1))))
+    # with a prior above the sample's own share the risk of clean texts falls below zero for nothing: a standard error less
+    prior *= 1 - len(p) ** -0.5
     xp, xu = dense(p), dense(u)
     w, b = np.zeros(len(own), np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(own) + 1), np.zeros(len(own) + 1)

@@ -56,9 +56,10 @@ class Encoder:
     the library's own.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, code: str = "I"):
         import tiktoken
 
+        self.code = code  # struct's code of an id: "I" for 32 bits, "H" for 16
         raw = [line.split() for line in open(vocabulary_path(f"{name}.tiktoken"), "rb")]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in raw}
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
@@ -81,7 +82,7 @@ class Encoder:
         return [self.special[word]] if word in self.special else self.encode(word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned integers."""
         out, memo = [], self.memo
         for text in texts:
             words = self.pretokens(text)
@@ -94,7 +95,7 @@ class Encoder:
                     new = set(words)
                 for w in new:
                     own = self.ids_of(w)
-                    memo[w] = struct.pack(f"<{len(own)}I", *own)
+                    memo[w] = struct.pack(f"<{len(own)}{self.code}", *own)
                 out.append(b"".join(map(memo.__getitem__, words)))
                 for w in new:
                     if len(w) > MEMO_CHARS:
@@ -103,6 +104,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, code: str = "I") -> Encoder:
     """One for each Python worker."""
-    return Encoder(name)
+    return Encoder(name, code)

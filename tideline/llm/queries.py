@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import langid, license_scan, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
+from tideline.llm import langid, license_scan, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_quality_classifier": quality_gbt.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -40,3 +40,12 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/tideline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of two or three numbers that may be broadcast; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, map_chunks, mix
-from tideline.llm.common import saved, table
+from tideline.llm.common import saved, small, table
 from tideline.llm.components import connected
 
 SHINGLE = 4
@@ -232,7 +232,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme]) -> Dat
         return pa.record_batch({"cls": batch.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "band": pa.array(band, pa.int32()), "s": pa.array([s.tobytes() for s in sets], pa.binary()), "sk": pa.array(first, pa.binary()), "sk_low": pa.array(second, pa.binary())})
 
     # rows of the same class have the same set, so any one of its documents serves
-    return map_chunks(docs.join(wanted, "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary").dropDuplicates(["cls"])
+    return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shared = indexed(docs, schemes).withColumn("low", F.min("cls").over(of_sig)).withColumn("high", F.max("cls").over(of_sig))
     buckets = saved(shared.where("low < high").select("sig", "cls", "low").distinct())
 
-    candidates = buckets.select("cls").distinct().join(classes.where("rep is not null").select("cls", F.col("rep").alias("doc_id")), "cls")
+    candidates = saved(buckets.select("cls").distinct().join(classes.where("rep is not null").select("cls", F.col("rep").alias("doc_id")), "cls"))
     sets = saved(class_sets(docs, candidates, schemes))
     stars = buckets.where("low < cls").groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     links = saved(verified(stars, sets))
@@ -375,12 +375,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of one document per component: the one with the smallest id."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The rows of ``docs``, all columns as they are, of one document per component: the one with the smallest id.
+
+    Rows without an id are not in any group and stay. Of several rows with the same id one stays.
+    """
+    dropped = small(saved(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()))
+    rows = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    again = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    if again.isEmpty():
+        return rows
+    repeated = small(again)
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    rows = rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return rows.unionByName(docs.where("doc_id is null"))
+    of = rows.join(repeated, rows["doc_id"] == repeated["_again"], "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    return rows.join(repeated, rows["doc_id"] == repeated["_again"], "left_anti").unionByName(of)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tideline.llm import langid, license_scan, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
+from tideline.llm import decontaminate, langid, license_scan, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_language_id": langid.op5_language_id,

@@ -1,7 +1,7 @@
 """Every query of the message engine against its SQL."""
 
 import pytest
-from conftest import SMALL, duck_rows, spark_rows
+from helpers import SMALL, duck_rows, spark_rows
 
 from tideline import queries
 

@@ -17,13 +17,16 @@ most ``3 * (|A| + |B|) / 37``.
 * ``spare`` budget beyond H + 1 lets a class leave out as many empty segments,
   which would match any other class's empty ones: the pigeonhole still holds.
 
-Links only matter for connected components, so pairs are verified lazily: first
-each class against the first one of its buckets (a star), and then, in the
-buckets that still hold several components, members of different components
-only. Those are compared by odd sketches (parities of hashed shingle counts, the
-number of differing parities is a lower bound of D, so nothing is lost), and what
-passes is verified on the sets. Large buckets are compared in blocks, a pair of
-blocks a task. No bucket is collected whole and none is capped.
+Links only matter for connected components, so pairs are verified lazily. Buckets
+with the same members count once. First each class meets the first one of its
+buckets, and both members of a bucket of two meet; then, for a few rounds, the
+classes of buckets that still hold several components meet an anchor drawn anew;
+at last, whatever buckets still hold several components are compared in full,
+members of different components only. Pairs are first held against odd sketches
+(parities of hashed shingle counts: the number of differing parities is a lower
+bound of D, so nothing is lost), and what passes is verified on the sets. Large
+buckets are compared in blocks, a pair of blocks a task. No bucket is collected
+whole and none is capped.
 
 Shingles are compared by 64-bit hashes.
 
@@ -54,6 +57,8 @@ SHINGLE = 4
 PERCENT = 85
 #: A scheme's band spans sizes up to this times its first; bands below LEAST hold no linked pair but equal sets.
 BAND = (100 / PERCENT) ** 2
+#: Rounds of drawn anchors before full comparison.
+ANCHOR_ROUNDS = 4
 #: Rows of one block when a bucket is compared, and cost of a row indexed in accidental pairs.
 BLOCK, ROW_COST = 1024, 4.0
 #: Parity bits of an odd sketch per shingle of the band's first size.
@@ -219,56 +224,78 @@ def indexed(docs: DataFrame, schemes: list[Scheme]) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme]) -> DataFrame:
-    """(cls, n, band, s, sk, sk_low) of the wanted (doc_id, cls): the set and its sketches for its own and the lower band."""
+    """(cls, n, band, s, sk, sk_low) of the wanted (doc_id, cls): the set and its sketches for its own and the lower band.
+
+    A repeated row gives its class's row again, which does no harm: links are a set.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1))
-        first, second, band = [], [], []
-        for s in sets:
-            own = schemes_of(len(s), schemes)
-            band.append(own[0].band)
-            first.append(sketch(s, own[0].words).tobytes())
-            second.append(sketch(s, own[1].words).tobytes() if len(own) > 1 else None)
-        return pa.record_batch({"cls": batch.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "band": pa.array(band, pa.int32()), "s": pa.array([s.tobytes() for s in sets], pa.binary()), "sk": pa.array(first, pa.binary()), "sk_low": pa.array(second, pa.binary())})
+        rows: list[tuple] = []
+        for cls, s in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            if len(s) and class_of(s) == cls:  # another text under the same id is another class
+                own = schemes_of(len(s), schemes)
+                rows.append((cls, len(s), own[0].band, s.tobytes(), sketch(s, own[0].words).tobytes(), sketch(s, own[1].words).tobytes() if len(own) > 1 else None))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cls", "n", "band", "s", "sk", "sk_low"])
+
+    return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary")
 
-    # rows of the same class have the same set, so any one of its documents serves
-    return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary").dropDuplicates(["cls"])
+
+def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, ba, bb = (batch.column(k).to_numpy() for k in range(2, 6))
+            keep = np.zeros(batch.num_rows, bool)
+            own = [[x.as_buffer() if x.is_valid else None for x in batch.column(k)] for k in range(6, 10)]
+            for i in range(batch.num_rows):
+                # in the lower one of the two bands
+                x = own[0][i] if ba[i] <= bb[i] else own[2][i]
+                y = own[1][i] if bb[i] <= ba[i] else own[3][i]
+                if abs(int(ba[i]) - int(bb[i])) <= 1 and x is not None and y is not None:
+                    apart = int(np.bitwise_count(np.frombuffer(x, _U) ^ np.frombuffer(y, _U)).sum())
+                    keep[i] = apart <= most_apart(int(na[i]), int(nb[i]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    of = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "sk", "sk_low")])
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return both.select("a", "b", "n_a", "n_b", "band_a", "band_b", "sk_a", "sk_b", "sk_low_a", "sk_low_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) that link."""
+    """The (a, b) that link. The two sets of a pair meet under the pair's own key, so a class with many pairs is no hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(a, b, strict=True)]
+            good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
-    of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    sized = pairs.join(of_a.drop("sa"), "a").join(of_b.drop("sb"), "b").where(near).select("a", "b")
-    return sized.join(of_b.drop("nb"), "b").join(of_a.drop("na"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    left = small(saved(may_link(pairs, sets).distinct()))
+    of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")).join(left, "a")
+    of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")).join(left, "b")
+    return of_a.join(of_b, ["a", "b"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int) -> DataFrame:
     """(a, b, more): pairs of different components in one bucket that sketches can't rule out.
 
-    ``members`` is (sig, cls, comp) of buckets with several components. For a class
+    ``members`` is (bid, cls, comp) of buckets with several components. For a class
     and a foreign component the ``most`` closest are returned; ``more`` marks pairs
     of which further ones were left for a later round.
     """
-    size = members.groupBy("sig").agg(F.count("*").alias("rows"))
+    size = members.groupBy("bid").agg(F.count("*").alias("rows"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = (
-        members.join(size, "sig")
+        members.join(size, "bid")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "comp")
+        .select("bid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "comp")
     )
-    rows = dealt.join(sets.select("cls", "n", "band", "sk", "sk_low"), "cls").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    rows = dealt.join(sets.select("cls", "n", "band", "sk", "sk_low"), "cls").repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
     words = {x.band: x.words for x in schemes}
 
     def compare(cls, comp, n, band, mine, low, high, x, y) -> list[tuple[int, int, bool]]:
@@ -325,7 +352,7 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    return rows.select("sig", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,30 +370,42 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     of_sig = Window.partitionBy("sig")
     shared = indexed(docs, schemes).withColumn("low", F.min("cls").over(of_sig)).withColumn("high", F.max("cls").over(of_sig))
-    buckets = saved(shared.where("low < high").select("sig", "cls", "low").distinct())
+    shared = shared.where("low < high").withColumn("x", F.bit_xor(F.xxhash64("cls")).over(of_sig)).withColumn("y", F.bit_xor(F.hash("cls")).over(of_sig)).withColumn("size", F.count("*").over(of_sig))
+    # a bucket is known by its members: pairs of near copies share many, which count once
+    buckets = saved(shared.select(F.xxhash64("x", "y", "low", "high", "size").alias("bid"), "cls", "low", "size").distinct())
 
     candidates = saved(buckets.select("cls").distinct().join(classes.where("rep is not null").select("cls", F.col("rep").alias("doc_id")), "cls"))
     sets = saved(class_sets(docs, candidates, schemes))
-    stars = buckets.where("low < cls").groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
-    links = saved(verified(stars, sets))
+    others = buckets.where("low < cls")
+    stars = others.groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
+    twos = others.where("size = 2").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    links = saved(verified(saved(stars.unionByName(twos).distinct()), sets))
     labels = connected(links, "a", "b")
 
-    most_each = 8
+    members, most_each, turn = buckets.where("size > 2").select("bid", "cls"), 8, 0
     while True:
-        comp = F.coalesce("label", "cls").alias("comp")
-        tagged = buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", comp)
-        several = tagged.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("sig")
-        members = saved(tagged.join(several, "sig").select("sig", "cls", "comp").distinct())
-        pairs = saved(across(members, sets, schemes, most_each))
-        if pairs.isEmpty():
+        turn += 1
+        of_bid = Window.partitionBy("bid")
+        tagged = members.select("bid", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bid", "cls", F.coalesce("label", "cls").alias("comp"))
+        draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp")).over(of_bid)
+        tagged = tagged.withColumn("c0", F.min("comp").over(of_bid)).withColumn("c1", F.max("comp").over(of_bid)).where("c0 < c1").withColumn("draw", draw)
+        members = saved(tagged.select("bid", "cls", "comp", F.col("draw.h").alias("h"), F.col("draw.cls").alias("anchor"), F.col("draw.comp").alias("anchor_comp")).distinct())
+        if members.isEmpty():
             break
-        links = saved(links.unionByName(verified(pairs.select("a", "b"), sets)))
-        labels = connected(links, "a", "b")
-        of = labels.select(F.col("node"), F.col("label"))
-        open_ = pairs.where("more").select("a", "b").join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left")
-        if open_.where("coalesce(la, a) <> coalesce(lb, b)").isEmpty():
-            break
-        most_each *= 16
+        if turn <= ANCHOR_ROUNDS:
+            apart = members.where("comp <> anchor_comp").groupBy("cls").agg(F.min_by("anchor", "h").alias("anchor"))
+            pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct())
+        else:
+            pairs = saved(across(members.select("bid", "cls", "comp"), sets, schemes, most_each))
+        new = saved(verified(pairs.select("a", "b"), sets))
+        if not new.isEmpty():
+            links = saved(links.unionByName(new))
+            labels = connected(links, "a", "b")
+        if turn > ANCHOR_ROUNDS:
+            open_ = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+            if open_.where("coalesce(la, a) <> coalesce(lb, b)").isEmpty():
+                break
+            most_each *= 16
 
     of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))

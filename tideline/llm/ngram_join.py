@@ -418,15 +418,16 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without an id are not in any group and stay. Of several rows with the same id one stays.
     """
-    dropped = small(saved(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()))
-    rows = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
-    again = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    key, nth = (next(x for k in range(len(docs.columns) + 1) if (x := f"_{name}{k}") not in docs.columns) for name in ("key", "nth"))
+    dropped = small(saved(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()))
+    rows = docs.join(dropped, docs["doc_id"] == dropped[key], "left_anti")
+    again = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("times")).where("times > 1").select(key))
     if again.isEmpty():
         return rows
     repeated = small(again)
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    of = rows.join(repeated, rows["doc_id"] == repeated["_again"], "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return rows.join(repeated, rows["doc_id"] == repeated["_again"], "left_anti").unionByName(of)
+    of = rows.join(repeated, rows["doc_id"] == repeated[key], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
+    return rows.join(repeated, rows["doc_id"] == repeated[key], "left_anti").unionByName(of)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,8 +97,8 @@ def unknown_aliases(requests: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def with_topics(requests: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(req_id, abbr, topic) of requests; the dictionary is configuration, small by nature."""
-    return requests.select("req_id", F.explode("abbrs").alias("abbr")).join(F.broadcast(aliases), "abbr")
+    """(req_id, abbr, topic) of requests."""
+    return requests.select("req_id", F.explode("abbrs").alias("abbr")).join(aliases, "abbr")
 
 
 class Session:

@@ -407,7 +407,7 @@ def fleet_latest(spark, sf_dir):
     """Each robot's last 24 hours by its own clock, in one plan."""
     rows = events(spark, sf_dir).rows
     ends = rows.groupBy("robot_id").agg(F.max("t_us").alias("own"))
-    return rows.join(F.broadcast(ends.limit(100_000)), "robot_id").where(F.col("t_us") >= F.col("own") - 24 * HOUR).groupBy("robot_id").agg(F.count("*").alias("n"))
+    return rows.join(ends, "robot_id").where(F.col("t_us") >= F.col("own") - 24 * HOUR).groupBy("robot_id").agg(F.count("*").alias("n"))
 
 
 @query(M + "SELECT robot_id, topic, count(*) AS n FROM m WHERE robot_id <= 3 GROUP BY 1, 2")

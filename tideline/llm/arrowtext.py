@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once in one Python worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U64 = np.uint64
 
 

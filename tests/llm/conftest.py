@@ -3,6 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.llm import attention
+
+
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    """Tests of anything but the language model's own fit don't wait for it."""
+    monkeypatch.setattr(attention, "STEPS", 60)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

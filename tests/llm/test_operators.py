@@ -386,8 +386,9 @@ def test_model_is_a_distribution(monkeypatch):
     assert [chunk.data[a : b - 1].tobytes().decode() for a, b in zip(chunk.start, chunk.start[1:], strict=False)] == rows
 
 
-def test_context_helps(spark):
+def test_context_helps(spark, monkeypatch):
     """On held-out documents the model beats an add-one unigram over the same subword ids."""
+    monkeypatch.setattr(attention, "STEPS", 600)
     held = {r.doc_id: r.score for r in QUERIES["op8_lm_score"](spark, MEDIUM).collect() if r.held_out}
     rows = table(spark, MEDIUM, "documents").collect()
     ids = {r.doc_id: np.frombuffer(b, "<u4") for r, b in zip(rows, Encoder("byte_bpe_50k").ids([(r.text or "").translate(LOWER) for r in rows]), strict=True)}

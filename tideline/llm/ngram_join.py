@@ -63,6 +63,8 @@ ANCHOR_ROUNDS = 4
 BLOCK, ROW_COST = 1024, 4.0
 #: Parity bits of an odd sketch per shingle of the band's first size.
 SKETCH_BITS = 4
+#: First buckets of a class that its rows name, so that two classes are compared to an end in the first they share.
+NAMED = 24
 _U = np.uint64
 
 
@@ -295,11 +297,15 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "comp")
     )
-    rows = dealt.join(sets.select("cls", "n", "band", "sk", "sk_low"), "cls").repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
+    # a class is in as many buckets as its scheme has segments at most
+    named = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("bid")), 1, NAMED).alias("named"))
+    about = sets.select("cls", "n", "band", "sk", "sk_low").join(named, "cls")
+    rows = dealt.join(about, "cls").withColumn("own", F.col("bid")).repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
     words = {x.band: x.words for x in schemes}
 
-    def compare(cls, comp, n, band, mine, low, high, x, y) -> list[tuple[int, int, bool]]:
+    def compare(cls, comp, n, band, mine, low, high, named, own_name, x, y) -> list[tuple[int, int, bool]]:
         out = []
+        earlier = [{b for b in names if b < own_name} for names in named]
         # a bucket is of one scheme: that of the lowest band in it, or the one below if all are of its upper neighbour
         for scheme in {b for b in band} | {b - 1 for b in band}:
             use = [i for i in range(len(cls)) if band[i] == scheme or band[i] == scheme + 1 and high[i] is not None]
@@ -321,6 +327,9 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
                 apart = np.bitwise_count(own[rest] ^ own[i]).sum(axis=1)
                 passed = apart <= (100 - PERCENT) * (nn[rest] + nn[i]) // (100 + PERCENT)
                 rest, apart = rest[passed], apart[passed]
+                # what shares an earlier bucket with this class is answered for there
+                first = np.array([earlier[use[i]].isdisjoint(earlier[use[j]]) for j in rest], bool)
+                rest, apart = rest[first], apart[first]
                 for c in np.unique(cc[rest]):
                     of = np.flatnonzero(cc[rest] == c)
                     near = of[np.argsort(apart[of], kind="stable")[:most]]
@@ -332,7 +341,7 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: pa.Table) -> pa.RecordBatch:
             get = lambda c: t[c].to_numpy()
-            got = set(compare(get("cls"), get("comp"), get("n"), get("band"), get("mine"), t["sk"].to_pylist(), t["sk_low"].to_pylist(), t["x"][0].as_py(), t["y"][0].as_py()))
+            got = set(compare(get("cls"), get("comp"), get("n"), get("band"), get("mine"), t["sk"].to_pylist(), t["sk_low"].to_pylist(), t["named"].to_pylist(), t["own"][0].as_py(), t["x"][0].as_py(), t["y"][0].as_py()))
             a, b, more = zip(*sorted(got), strict=True) if got else ((), (), ())
             return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
@@ -352,7 +361,7 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    return rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low", "named", "own").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

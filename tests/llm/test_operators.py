@@ -202,6 +202,36 @@ def test_recall_of_edited_passages(spark, texts):
     assert decontaminate.matches(clean, index) == []
 
 
+@pytest.mark.parametrize("apart", [0.1, 0.15, 0.2])
+def test_recall_at_distance_by_item_length(spark, apart):
+    items = sorted(((r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()), key=lambda x: len(x[1]))
+    index = decontaminate.build_index(items)
+    rng = np.random.default_rng(5)
+    for some in (items[:8], items[-8:]):
+        truth = [some[k % 8] for k in range(160)]
+        docs = pa.array(["Hier und da " + decontaminate.edited(decontaminate.fold(t), apart, rng) + " so und so." for _, t in truth])
+        found = {(d, index.ids[i]) for d, i, *_ in decontaminate.matches(docs, index)}
+        assert np.mean([(k, i) in found for k, (i, _) in enumerate(truth)]) >= 0.95
+
+
+def test_recall_of_short_items_among_long_ones():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(60 if k % 4 else 4))[: 300 if k % 4 else 28]) for k in range(80)]
+    index = decontaminate.build_index(items)
+    numbers = np.random.default_rng(3)
+    docs = pa.array(["und da " + decontaminate.edited(decontaminate.fold(t), 0.2, numbers) + " so" for _, t in items for _ in range(4)])
+    found = {(d, index.ids[i]) for d, i, *_ in decontaminate.matches(docs, index)}
+    assert np.mean([(4 * k + j, k) in found for k in range(0, 80, 4) for j in range(4)]) >= 0.9
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcé €", min_size=16, max_size=150), st.text("abcé €", min_size=1, max_size=200), st.integers(0, 99))
+def test_bound_never_exceeds_the_distance(item, text, seed):
+    text += decontaminate.edited(item, 0.2, np.random.default_rng(seed))
+    assert decontaminate.bounds([(item, text), ("abc" * 30, "x")])[0] <= decontaminate.closest(item, text)[0]
+
+
 # N-gram join
 
 

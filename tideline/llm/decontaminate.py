@@ -9,14 +9,17 @@ pointer and moves the pointer by a random bit that depends on step and
 character. Strings at small edit distance emit sequences at small Hamming
 distance, because after an edit the two walks fall into step again. Sampling a
 few emitted characters is then a locality-sensitive hash for edit distance, and
-repetitions with new walks reach the target recall (:func:`repetitions`).
+repetitions with new walks reach the target recall: items are grouped by length,
+and each group gets walks until it finds ``RECALL`` of its own passages edited to
+the whole distance that ``APART`` allows (:func:`rehearsal`), at most ``MOST_WALKS``.
 Windows of a document start at its words (and at content-defined places of very
 long words); an item is hashed at each of its own such places, so a passage is
 found by whichever stretch of it is least edited, wherever the passage starts.
 Windows that agree with no item in the characters sampled so far stop walking.
 
 Every candidate is verified exactly, by a bit-parallel dynamic program over the
-item-sized part of the document it points to.
+item-sized part of the document it points to; before that, many at once are ruled
+out by a lower bound from the item's runs of up to 64 characters (:func:`bounds`).
 
 The benchmark is searched in blocks of bounded size (broadcast); the documents
 are read once a block and never shuffled.
@@ -43,22 +46,18 @@ from tideline.llm.common import table
 
 APART = 0.2
 LEAST = 16
-#: Characters that a window's walk covers on average, for items of at least twice that; and sampled characters.
-SPANS = ((32, 12), (8, 8))
-#: The stretch of a passage that a walk covers is taken to differ in this share of its emitted characters.
-DESIGN_APART, RECALL = 0.2, 0.98
+#: By the least bytes of an item, descending: characters that a window's walk covers on average, and sampled characters.
+SPANS = ((64, 12, 16), (32, 8, 9), (0, 5, 6))
+#: Share of passages at distance ``APART`` that each group of items is to find; passages it is measured on; and walks at most.
+RECALL, REHEARSED, MOST_WALKS = 0.985, 400, 64
+#: Rehearsed passages are cut to so many characters; longer ones are found more surely.
+LONGEST = 512
 #: Characters of items that are searched for at once.
 BLOCK_CHARS = 4_000_000
 FOLD = LOWER.copy()
 FOLD[~SPACE_WORD] = 0x20
 
 
-def repetitions(bits: int, anchors: int, apart: float = DESIGN_APART, recall: float = RECALL) -> int:
-    """Walks needed so that a passage whose walks differ by ``apart`` is found with the wanted probability."""
-    hit = 1 - (1 - (1 - apart) ** bits) ** max(anchors, 1)
-    return max(2, math.ceil(math.log(1 - recall) / math.log(max(1 - hit, 1e-12))))
-
-
 @dataclass
 class Walk:
     """One repetition: random bits per step and byte, the sampled steps, and the items' keys."""
@@ -71,6 +70,24 @@ class Walk:
     offset: np.ndarray
 
 
+#: First bytes by which windows are told apart in :class:`Heads`.
+HEAD = 5
+
+
+class Heads:
+    """Where windows start, those together that have their first ``HEAD`` bytes in common."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        data = np.append(data, np.zeros(HEAD, np.uint8))
+        head = np.zeros(len(at), np.uint64)
+        for k in range(HEAD):
+            head |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
+        order = np.argsort(head)
+        self.at, head = at[order], head[order]
+        #: first[i] .. first[i + 1] are the windows of head i.
+        self.first = np.append(np.flatnonzero(np.append(True, head[1:] != head[:-1])[: len(at)]), len(at))
+
+
 @dataclass
 class Index:
     ids: list
@@ -82,30 +99,56 @@ def _bucket(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
-def _walk(data: np.ndarray, at: np.ndarray, walk: Walk, search: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the windows that start at ``at`` (those that can still match if ``search``), and which windows they are."""
-    alive = np.arange(len(at))
+def _walk(data: np.ndarray, at: np.ndarray, walk: Walk) -> np.ndarray:
+    """Keys of the windows of items that start at ``at``; ``partial`` gets its bitmaps."""
     p = at.copy()
     key = np.zeros(len(at), np.uint64)
-    done = 0
+    walk.partial.clear()
     for step in range(int(walk.steps[-1]) + 1):
         c = data[p]
-        if step == walk.steps[done]:
+        if step == walk.steps[len(walk.partial)]:
             key = mix(key * np.uint64(257) + c + np.uint64(1))
-            if search:
-                keep = walk.partial[done][_bucket(key)]
-                if done and not keep.all():
-                    keep = np.flatnonzero(keep)
-                    alive, p, key, c = alive[keep], p[keep], key[keep], c[keep]
-            else:
-                seen = np.zeros(1 << 18, bool)
-                seen[_bucket(key)] = True
-                walk.partial.append(seen)
+            seen = np.zeros(1 << 18, bool)
+            seen[_bucket(key)] = True
+            walk.partial.append(seen)
+        p += walk.moves[step][c]
+    return key
+
+
+def _search(data: np.ndarray, heads: Heads, walk: Walk) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the windows that may match, and where they start.
+
+    Windows that begin alike are walked as one (``near``) until the walk leaves
+    the bytes they have in common.
+    """
+    near = np.arange(len(heads.first) - 1)
+    q = heads.at[heads.first[:-1]]
+    key_q = np.zeros(len(q), np.uint64)
+    at = p = np.zeros(0, np.int64)
+    key = np.zeros(0, np.uint64)
+    done = 0
+    for step in range(int(walk.steps[-1]) + 1):
+        if len(near) and step >= HEAD:
+            begin = heads.at[heads.first[near]]
+            out = q - begin >= HEAD
+            if out.any():
+                lo, n = heads.first[near[out]], heads.first[near[out] + 1] - heads.first[near[out]]
+                new = heads.at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+                at, key = np.concatenate([at, new]), np.concatenate([key, np.repeat(key_q[out], n)])
+                p = np.concatenate([p, new + np.repeat((q - begin)[out], n)])
+                near, q, key_q = near[~out], q[~out], key_q[~out]
+        c, c_q = data[p], data[q]
+        if step == walk.steps[done]:
+            key, key_q = (mix(k * np.uint64(257) + x + np.uint64(1)) for k, x in ((key, c), (key_q, c_q)))
+            keep, keep_q = (np.flatnonzero(walk.partial[done][_bucket(k)]) for k in (key, key_q))
+            at, p, key, c = at[keep], p[keep], key[keep], c[keep]
+            near, q, key_q, c_q = near[keep_q], q[keep_q], key_q[keep_q], c_q[keep_q]
             done += 1
-            if done == len(walk.steps) or not len(p):
-                break
         p += walk.moves[step][c]
-    return key, alive
+        q += walk.moves[step][c_q]
+    lo, n = heads.first[near], heads.first[near + 1] - heads.first[near]  # walks that never left their heads
+    new = heads.at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))] if len(near) else at[:0]
+    return np.concatenate([key, np.repeat(key_q, n)]), np.concatenate([at, new])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -128,29 +171,78 @@ def _prepared(texts: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
     return chunk, np.append(data, np.uint8(0)), anchors(data, words.starts, words.ends)
 
 
+def edited(text: str, apart: float, rng: np.random.Generator, letters: str = "etaoinsrhdlu ") -> str:
+    """``text`` after random edits, at the whole edit distance that ``apart`` allows."""
+    most, out, todo = int(apart * len(text)), list(text), int(apart * len(text))
+    while todo > 0:
+        for _ in range(todo):
+            at, kind, c = int(rng.integers(len(out))), int(rng.integers(3)), letters[int(rng.integers(len(letters)))]
+            out[at : at + (kind < 2)] = [c, "", c][kind] and [c]
+        todo = most - closest(text, "".join(out))[0]
+    return "".join(out)
+
+
+def rehearsal(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
+    """Items (a sample, cut to ``LONGEST``), and each one's passage at distance ``APART``."""
+    own = [texts[j][:LONGEST] for j in rng.integers(0, len(texts), REHEARSED)]
+    return own, [edited(t, APART, rng) for t in own]
+
+
+def _windows(texts: list[str], span: int = 0) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk, its bytes, window starts and their texts; with ``span``, only windows that stay in their text or begin it."""
+    chunk, data, at = _prepared(pa.array(texts, pa.string()))
+    of = np.searchsorted(chunk.start, at, side="right") - 1
+    if span:
+        whole = (chunk.start[of + 1] - 1 - at >= span + span // 4) | (at == chunk.start[of])
+        at, of = at[whole], of[whole]
+    return chunk, data, at, of
+
+
+def _found(walk: Walk, own: tuple, passages: tuple) -> np.ndarray:
+    """Which passages share a key with their own item at about the same place."""
+    (a, data_a, at_a, of_a), (b, data_b, at_b, of_b) = own, passages
+    key_a = _walk(data_a, at_a, walk)
+    key_b = _walk(data_b, at_b, walk)
+    order = np.argsort(key_a)
+    lo, hi = np.searchsorted(key_a[order], key_b, side="left"), np.searchsorted(key_a[order], key_b, side="right")
+    n = hi - lo
+    i = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+    j = np.repeat(np.arange(len(key_b)), n)
+    apart = (at_a[i] - a.start[of_a[i]]) - (at_b[j] - b.start[of_b[j]])
+    out = np.zeros(b.n, bool)
+    out[of_b[j[(of_a[i] == of_b[j]) & (np.abs(apart) <= APART * b.n_bytes[of_b[j]])]]] = True
+    return out
+
+
 def build_index(items: list[tuple], seed: int = 7) -> Index:
-    """Of (id, text) items; texts are folded here."""
+    """Of (id, text) items; texts are folded here. Items of a group of lengths share their walks; shorter ones get more."""
     items = [(i, fold(t)) for i, t in items if t is not None]
     items = [(i, t) for i, t in items if len(t.encode()) >= LEAST]
     index = Index([i for i, _ in items], [t for _, t in items], [])
     rng = np.random.default_rng(seed)
-    for k, (span, bits) in enumerate(SPANS):
-        longer = SPANS[k - 1][0] * 2 if k else 1 << 30
-        own = [j for j, t in enumerate(index.texts) if 2 * span <= len(t.encode()) < longer or (k == 0 and len(t.encode()) >= 2 * span)]
-        if not own:
-            continue
-        chunk, data, at = _prepared(pa.array([index.texts[j] for j in own], pa.string()))
-        of = np.searchsorted(chunk.start, at, side="right") - 1
-        whole = (chunk.start[of + 1] - 1 - at >= span + span // 4) | (at == chunk.start[of])
-        at, of = at[whole], of[whole]
-        per_item = np.bincount(of, minlength=len(own))
-        for _ in range(repetitions(bits, int(np.median(per_item)))):
+    sizes = np.array([len(t.encode()) for t in index.texts], np.int64)
+    for k, (least, span, bits) in enumerate(SPANS):
+        here = (sizes >= least) & (sizes < (SPANS[k - 1][0] if k else 1 << 62))
+        groups = {}
+        for g in np.unique(np.log2(sizes[here]) * 2 // 1):  # lengths within a factor of the square root of 2
+            members = np.flatnonzero(here & (np.log2(sizes) * 2 // 1 == g))
+            own, passages = rehearsal([index.texts[j] for j in members], rng)
+            groups[g] = (members, _windows(own, span), _windows(passages), np.zeros(REHEARSED, bool))
+        for _ in range(MOST_WALKS):
+            groups = {g: x for g, x in groups.items() if x[3].mean() < RECALL}
+            if not groups:
+                break
             moves = rng.integers(0, 2, (2 * span, 256)).astype(np.int64)
             moves[:, 0] = 0
-            walk = Walk(moves, np.sort(rng.choice(2 * span, bits, replace=False)), [], np.zeros(0), np.zeros(0), np.zeros(0))
-            key, _ = _walk(data, at, walk, search=False)
+            edge = np.arange(bits + 1) * 2 * span // bits
+            walk = Walk(moves, rng.integers(edge[:-1], edge[1:]), [], np.zeros(0), np.zeros(0), np.zeros(0))
+            for _, own, passages, found in groups.values():
+                found |= _found(walk, own, passages)
+            members = np.sort(np.concatenate([x[0] for x in groups.values()]))
+            chunk, data, at, of = _windows([index.texts[j] for j in members], span)
+            key = _walk(data, at, walk)
             order = np.argsort(key)
-            walk.keys, walk.item, walk.offset = key[order], np.array(own)[of[order]], (at - chunk.start[of])[order]
+            walk.keys, walk.item, walk.offset = key[order], members[of[order]], (at - chunk.start[of])[order]
             index.walks.append(walk)
     return index
 
@@ -187,19 +279,68 @@ def closest(item: str, text: str) -> tuple[int, int]:
     return best, where
 
 
+def _codes(text: str) -> np.ndarray:
+    """One byte a character; equal characters have equal ones."""
+    return (np.frombuffer(text.encode("utf-32-le"), np.uint32) & 0xFF).astype(np.int64)
+
+
+def bounds(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """For each (item, text), a lower bound of the item's edit distance to any part of the text.
+
+    The item is cut into runs of up to 64 characters; the least distances of the
+    runs to any part of the text, in one machine word each, sum to the bound.
+    """
+    runs = [-(-len(item) // 64) for item, _ in pairs]
+    lane = np.repeat(np.arange(len(pairs)), runs)
+    match: dict[str, np.ndarray] = {}
+    sizes: dict[str, np.ndarray] = {}
+    for item in {item for item, _ in pairs}:
+        n, m = len(item), -(-len(item) // 64)
+        cut = np.arange(m + 1) * n // m
+        of = np.repeat(np.arange(m), np.diff(cut))
+        match[item] = np.zeros((m, 257), np.uint64)
+        np.bitwise_or.at(match[item], (of, _codes(item)), np.uint64(1) << (np.arange(n) - cut[of]).astype(np.uint64))
+        sizes[item] = np.diff(cut)
+    table = np.concatenate([match[item] for item, _ in pairs])
+    size = np.concatenate([sizes[item] for item, _ in pairs])
+    text = np.full((len(pairs), max(len(t) for _, t in pairs)), 256)
+    for row, (_, t) in zip(text, pairs, strict=True):
+        row[: len(t)] = _codes(t)
+    text = np.ascontiguousarray(text[lane].T) + np.arange(len(lane)) * 257
+    flat, one, top = table.reshape(-1), np.uint64(1), (size - 1).astype(np.uint64)
+    up, down = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64)
+    score, best = size.copy(), size.copy()
+    for at in text:
+        eq = flat[at]
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up), up & xh
+        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        ph <<= one
+        up = (mh << one) | ~(xv | ph)
+        down = ph & xv
+        np.minimum(best, score, out=best)
+    return np.bincount(lane, best, len(pairs)).astype(np.int64)
+
+
+#: Runs of items whose bounds are worked out at once, times characters of text.
+LANES = 1 << 20
+
+
 def candidates(texts: pa.Array, index: Index) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """The chunk, its folded bytes, and distinct (document, item, byte where the item would start, rounded) rows."""
     chunk, data, at = _prepared(texts)
     found = []
+    heads = Heads(data, at)
     for walk in index.walks:
-        key, alive = _walk(data, at, walk, search=True)
+        key, start = _search(data, heads, walk)
         lo, hi = np.searchsorted(walk.keys, key, side="left"), np.searchsorted(walk.keys, key, side="right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
             continue
         n = hi[hit] - lo[hit]
         which = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        place = at[alive[np.repeat(hit, n)]]
+        place = start[np.repeat(hit, n)]
         doc = np.searchsorted(chunk.start, place, side="right") - 1
         begin = place - chunk.start[doc] - walk.offset[which]
         found.append(np.stack([doc, walk.item[which], begin >> 5], axis=1))
@@ -207,17 +348,30 @@ def candidates(texts: pa.Array, index: Index) -> tuple[Chunk, np.ndarray, np.nda
     return chunk, data, rows
 
 
+def near(places: list[tuple], index: Index, apart: float) -> list[tuple]:
+    """The places (document, item, cell, byte, text) that :func:`bounds` doesn't rule out."""
+    keep: list[int] = []
+    some: list[int] = []
+    lanes = 0
+    order = sorted(range(len(places)), key=lambda k: len(places[k][4]))
+    for k in order:
+        item, text = index.texts[places[k][1]], places[k][4]
+        lanes += -(-len(item) // 64)
+        some.append(k)
+        if lanes * len(text) >= LANES or k == order[-1]:
+            least = bounds([(index.texts[places[j][1]], places[j][4]) for j in some])
+            keep += [j for j, x in zip(some, least.tolist(), strict=True) if x <= int(apart * len(index.texts[places[j][1]]))]
+            some, lanes = [], 0
+    return [places[k] for k in sorted(keep)]
+
+
 def matches(texts: pa.Array, index: Index, apart: float = APART) -> list[tuple[int, int, int, int, int]]:
     """(document, item, distance, start, end) of every contaminated document and item; bytes of the closest part's surroundings."""
     if not index.walks:
         return []
     chunk, data, rows = candidates(texts, index)
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    last: tuple[int, int, int] | None = None
+    places = []
     for doc, item, cell in rows.tolist():
-        if last == (doc, item, cell - 1) and (doc, item) in out:
-            last = (doc, item, cell)  # the neighbouring cell's surroundings held this one
-            continue
         text = index.texts[item]
         most = int(apart * len(text))
         size = len(text.encode())
@@ -225,13 +379,20 @@ def matches(texts: pa.Array, index: Index, apart: float = APART) -> list[tuple[i
         around = data[max(a, a + cell * 32 - 4 * most) : min(b, a + cell * 32 + 32 + size + 4 * most)]
         widest = 1 if size == len(text) and (around < 0x80).all() else 2 if (around < 0xE0).all() else 4  # bytes of a character
         lo, hi = max(a, a + cell * 32 - widest * most), min(b, a + cell * 32 + 32 + size + widest * most)
-        if hi <= lo:
+        if hi > lo and (part := data[lo:hi].tobytes().decode(errors="ignore")):
+            places.append((doc, item, cell, int(lo - a), part))
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    last: tuple[int, int, int] | None = None
+    for doc, item, cell, lo, part in near(places, index, apart):
+        if last == (doc, item, cell - 1) and (doc, item) in out:
+            last = (doc, item, cell)  # the neighbouring cell's surroundings held this one
             continue
-        part = data[lo:hi].tobytes().decode(errors="ignore")
+        text = index.texts[item]
+        most, size = int(apart * len(text)), len(text.encode())
         distance, end = closest(text, part)
         last = (doc, item, cell)
         if distance <= most and (known := out.get((doc, item), (1 << 30,)))[0] > distance:
-            stop = int(lo - a) + len(part[:end].encode())
+            stop = lo + len(part[:end].encode())
             out[doc, item] = (distance, max(0, stop - size - most), stop)
     return [(d, i, *x) for (d, i), x in sorted(out.items())]
 

@@ -443,3 +443,15 @@ def test_pipeline_is_its_stages_in_brute_force(spark, library):
     clean = [r for r in one if not any(x in decontaminate.fold(r.text) for x in items)]
     ids = {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 2] for r in clean}
     check_packing(corpus_pipeline.run(spark, SMALL).collect(), ids, 1024)
+
+
+def test_lm_classes_and_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 12)
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 300, 400).astype("<u2") for _ in range(10)]
+    rows = [(k, False, docs[0].tobytes()) for k in range(200)] + [(200 + k, False, d.tobytes()) for k, d in enumerate(docs[1:])]
+    rows += [(300, True, np.full(50, 7, "<u2").tobytes())]
+    df = spark.createDataFrame(rows, "rid long, held_out boolean, ids binary").repartition(5)
+    assert sorted(d.astype("<u2").tobytes() for d in lm_score.sampled_ids(df)) == sorted(d.tobytes() for d in docs)
+    all_ids = [np.frombuffer(b, "<u2").astype(np.int64) for _, out, b in rows if not out]
+    assert (lm_score.corpus_classes(df, 320) == attention.sample_classes(all_ids, 320)).all()

@@ -235,7 +235,7 @@ def test_bound_never_exceeds_the_distance(item, text, seed):
 # N-gram join
 
 
-def brute_components(sets):
+def brute_components(sets, percent=85):
     root = list(range(len(sets)))
 
     def find(x):
@@ -245,22 +245,22 @@ def brute_components(sets):
 
     for i, j in itertools.combinations(range(len(sets)), 2):
         shared = len(sets[i] & sets[j])
-        if sets[i] and sets[j] and 100 * shared >= 85 * len(sets[i] | sets[j]):
+        if sets[i] and sets[j] and 100 * shared >= percent * len(sets[i] | sets[j]):
             root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("seed", [0])
-def test_join_near_the_threshold(spark, seed):
+@pytest.mark.parametrize(("seed", "size", "percent"), [(0, 4, 85), (3, 5, 80)])
+def test_join_near_the_threshold(spark, seed, size, percent):
     """Families of texts with edits that put pairs on either side of the threshold, hot groups among them."""
     rng = random.Random(seed)
     word = lambda: "w" + str(rng.randrange(5000))
     docs = []
-    for size in [4, 5, 8, 9, 10, 12, 15, 20, 33, 60, 150, 400]:
-        base = [word() for _ in range(size)]
-        for _ in range(40 if size in (20, 60) else 8):
+    for length in [4, 5, 8, 9, 10, 12, 15, 20, 33, 60, 150, 400]:
+        base = [word() for _ in range(length)]
+        for _ in range(40 if length in (20, 60) else 8):
             w = list(base)
-            for _ in range(rng.randrange(0, max(2, size // 30))):
+            for _ in range(rng.randrange(0, max(2, length // 30))):
                 w[rng.randrange(len(w))] = word()
             if rng.random() < 0.3:
                 w = w[rng.randrange(0, 2) :] + [word() for _ in range(rng.randrange(0, 2))]
@@ -269,9 +269,9 @@ def test_join_near_the_threshold(spark, seed):
     sets = []
     for t in docs:
         w = SPACE.findall(t)
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)})
-    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.component_id for r in got] == brute_components(sets)
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)})
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), size=size, percent=percent).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == brute_components(sets, percent)
     assert [r.n_shingles for r in got] == [len(s) for s in sets]
 
 
@@ -298,7 +298,24 @@ def test_full_comparison_alone_finds_all(spark, monkeypatch):
     """Without rounds of anchors, and with tiny blocks and answers, the result is the same."""
     monkeypatch.setattr(ngram_join, "ANCHOR_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    test_join_near_the_threshold(spark, 1)
+    test_join_near_the_threshold(spark, 1, 4, 85)
+
+
+def test_equal_class_numbers_are_told_apart(spark, monkeypatch):
+    """Numbers that coincide (here: one for all sets of a size) do not join classes."""
+    own = ngram_join.class_of
+    crowded = lambda s, moved=None: (own(s)[1] if moved and moved.get(len(s), own(s)[1]) != own(s)[1] else len(s), own(s)[1])
+    monkeypatch.setattr(ngram_join, "class_of", crowded)
+    test_join_near_the_threshold(spark, 2, 4, 85)
+
+
+def test_one_signature_of_very_many_classes(spark):
+    """A passage that 20,000 different texts share: one hot bucket, and no link but the planted ones."""
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = [(i, f"{common} " + " ".join(f"u{i}x{k}" for k in range(10))) for i in range(20_000)]
+    rows += [(20_000 + i, f"{common} " + " ".join(f"u{i}x{k}" for k in range(9))) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {20_000 + i: i for i in range(3)}
 
 
 # Statistics, rules, classifiers
@@ -437,8 +454,8 @@ def test_pipeline_is_its_stages_in_brute_force(spark, library):
     sets = []
     for r in kept:
         w = SPACE.findall(r.text.translate(LOWER))
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()})
-    one = [r for r, (i, c) in zip(kept, enumerate(brute_components(sets)), strict=True) if i == c]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    one = [r for r, (i, c) in zip(kept, enumerate(brute_components(sets, 80)), strict=True) if i == c]
     items = [decontaminate.fold(r.text) for r in table(spark, SMALL, "benchmark").collect()]
     clean = [r for r in one if not any(x in decontaminate.fold(r.text) for x in items)]
     ids = {r.doc_id: [*library.encode(r.text, add_special_tokens=False).ids, 2] for r in clean}

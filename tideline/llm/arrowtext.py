@@ -3,18 +3,21 @@
 Texts are handled as UTF-8 bytes, many documents at a time and never one
 character at a time in Python. A :class:`Chunk` holds whole documents (never a
 part of one) of about ``CHUNK_BYTES`` together, so memory is bounded by that
-size or by the longest single document.
+size or by a small multiple of the longest single document: its bytes, their
+flags, and some numbers for each of its words. Whatever needs 64 bits for each
+byte is worked out in blocks of ``CHUNK_BYTES``.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at once in one Python worker.
 CHUNK_BYTES = 1 << 20
@@ -45,6 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @lru_cache(maxsize=1)
@@ -52,18 +56,28 @@ def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U64) * _U64(0xD1B54A32D192ED03))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of which the terms of span hashes are held at once; longer chunks are worked on in blocks.
+BLOCK_BYTES = CHUNK_BYTES * 2
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
-    if len(_powers.get("up", ())) < max(n, 1):
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=_U64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, for one block and the place after it."""
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(BLOCK_BYTES + 1, base, dtype=_U64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _prefix(data: np.ndarray) -> np.ndarray:
+    """Sums of the terms of a block's bytes before each place."""
+    sums = np.zeros(len(data) + 1, dtype=_U64)
+    terms = _byte_values()[data]
+    terms *= _powers()[0][: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    return sums
 
 
 class Chunk:
@@ -97,16 +111,42 @@ class Chunk:
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes give equal hashes anywhere."""
-        if self._sums is None:
-            up, _ = _power(len(self.data))
-            terms = _byte_values()[self.data]
-            terms *= up
-            self._sums = np.zeros(len(self.data) + 1, dtype=_U64)
-            np.cumsum(terms, out=self._sums[1:])
-        _, down = _power(len(self.data) + 1)
-        value = (self._sums[ends] - self._sums[starts]) * down[starts]
+        _, down = _powers()
+        if len(self.data) <= BLOCK_BYTES:
+            if self._sums is None:
+                self._sums = _prefix(self.data)
+            value = (self._sums[ends] - self._sums[starts]) * down[starts]
+        else:
+            value = (self._sums_at(ends) - self._sums_at(starts)) * down[starts % BLOCK_BYTES]
+            value *= self._block_scale(_BASE_INVERSE)[starts // BLOCK_BYTES]
         return mix(value + (ends - starts).astype(_U64) * _U64(0x2545F4914F6CDD1D))
 
+    def _block_scale(self, base: int) -> np.ndarray:
+        """Powers of the base that the blocks of a long chunk begin with."""
+        step, out = pow(base, BLOCK_BYTES, 1 << 64), [1]
+        for _ in range(len(self.data) // BLOCK_BYTES):
+            out.append(out[-1] * step & (1 << 64) - 1)
+        return np.array(out, dtype=_U64)
+
+    def _sums_at(self, places: np.ndarray) -> np.ndarray:
+        """Sums of all terms before each of the places of a long chunk, block by block with the sum so far carried on."""
+        rising = len(places) < 2 or bool((places[1:] >= places[:-1]).all())
+        order = None if rising else np.argsort(places, kind="stable")
+        at = places if order is None else places[order]
+        got = np.empty(len(at), _U64)
+        scale, carry = self._block_scale(_BASE), np.zeros(1, _U64)
+        for k in range(len(scale)):
+            begin = k * BLOCK_BYTES
+            local = _prefix(self.data[begin : begin + BLOCK_BYTES])
+            lo, hi = np.searchsorted(at, [begin, begin + BLOCK_BYTES])
+            got[lo:hi] = carry + scale[k] * local[at[lo:hi] - begin]
+            carry = carry + scale[k] * local[-1:]
+        if order is None:
+            return got
+        out = np.empty_like(got)
+        out[order] = got
+        return out
+
     def spans(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal flagged runs."""
         edge = np.empty(len(flags) + 1, dtype=bool)
@@ -148,12 +188,13 @@ class Words:
             return np.zeros(0, _U64), np.zeros(0, np.int64)
         doc = self.doc
         inside = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
-        return combine([self.hash[inside + k] for k in range(size)]), inside
+        del doc
+        return combine(self.hash[inside + k] for k in range(size)), inside
 
 
-def combine(parts: list[np.ndarray]) -> np.ndarray:
-    """One hash of an ordered list of hashes."""
-    total = np.zeros_like(parts[0])
+def combine(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """One hash of an ordered list of hashes, taken one by one."""
+    total: np.ndarray | int = 0
     for k, part in enumerate(parts):
         total += part * _U64((0xA0761D6478BD642F + 0xE7037ED1A0B428DA * k) & (2**64 - 1) | 1)
     return mix(total)
@@ -177,15 +218,17 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         yield batch.slice(a, b - a)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, for tables whose rows may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def map_chunks(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str, column: str = "text") -> DataFrame:
     """``make`` applied to bounded slices of each partition; nothing is shuffled."""
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,5 +238,6 @@ def map_chunks(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
                     yield out
                 elif out is not None:
                     yield from out
+        give_back()
 
     return df.mapInArrow(run, schema)

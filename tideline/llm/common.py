@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,23 +26,78 @@ def held_out(column: str, parts: int, remainder: int) -> Column:
 
 
 def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those whose keys hash lowest: the same ones in any partitioning."""
-    return df.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most)
+    """At most ``most`` rows, those whose keys hash lowest: the same ones in any partitioning.
+
+    Rows are counted first and cut by a hash value that leaves few more than
+    ``most`` of them, so what meets in the last sort doesn't grow with the table.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    n = rows.count()
+    h = F.xxhash64(key)
+    share = (most + 8 * most**0.5 + 16) / max(n, 1)  # fewer than ``most`` are left by chance once in some 10**15 times
+    if share < 1:
+        rows = rows.where(h <= F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.orderBy(h, key).limit(most)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder for tables between steps: that of ``spark.checkpoint.dir``, which all executors see.
+
+    Where it is unset, a session on one machine (a test) gets a temporary folder; any other is refused.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="tideline-"))
+        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
+    return _own_root[0]
+
+
+_own_root: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, watch: Observation | None = None, **metrics: Column) -> DataFrame:
     """``df`` written to shared storage and read again, so its lineage ends there.
 
-    The folder is that of ``spark.checkpoint.dir``; a session without one (a
-    test) gets a local folder.
+    ``watch`` gets ``metrics`` of the rows while they are written. :func:`release` removes the table;
+    what nobody released goes when the driver ends.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "/tmp/checkpoints/tideline"
-    path = f"{root.rstrip('/')}/tideline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_root(spark)}/tideline-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    (df.observe(watch, *[m.alias(name) for name, m in metrics.items()]) if watch else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing will read any more."""
+    for t in tables:
+        path = getattr(t, "_saved_at", None)
+        if path in _tables:
+            _remove(_tables.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _tables.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # the session has ended: its folder is its owner's to clear
+            return
 
 
 #: Rows of two or three numbers that may be broadcast; larger tables are joined by a shuffle.

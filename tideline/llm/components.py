@@ -2,18 +2,22 @@
 
 Labels start as the smallest neighbour. A round takes the smallest label among a
 node's neighbours and then follows labels (the label of the label), so chains
-shorten by half or better a round. Every round is written to shared storage: its
-lineage ends there and lost executors cost one round's tasks at most. Nothing but
-the count of changed labels reaches the driver, and all groupings are by minimum,
-which is combined before it is shuffled, so a node with many edges is no hot key.
+shorten by half or better a round. A round is one write to shared storage, which
+also counts the labels it changed: lineage ends there, and lost executors cost one
+round's tasks at most. Nothing but that count reaches the driver. All groupings are
+by minimum, combined before the shuffle; joins on a node with many edges are of the
+kind that adaptive execution splits.
+
+:func:`merged` brings labels up to date with new links by way of the components
+they join, so what later rounds work on is as small as what they found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tideline.llm.common import saved
+from tideline.llm.common import release, saved, small
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -23,9 +27,23 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     labels = saved(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        lowered = saved(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
-        up = lowered.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = saved(lowered.join(up, "label").select("node", "old", F.least("label", "top").alias("label")))
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
+        lowered = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("low"))
+        up = labels.select(F.col("node").alias("low"), F.col("label").alias("top"))
+        watch = Observation()
+        after = saved(lowered.join(up, "low").select("node", "old", F.least("low", "top").alias("label")), watch, changed=F.sum(F.expr("if(old <> label, 1, 0)")))
+        before, labels = labels, after.select("node", "label")
+        labels._saved_at = after._saved_at
+        release(before)
+        if not watch.get["changed"]:
+            release(both)
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) of all nodes after links (a, b) between some of them."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    joins = saved(links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select("la", "lb").distinct())
+    roots = connected(joins, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("root"))
+    after = saved(labels.join(small(roots), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    release(joins)
+    return after

@@ -1,10 +1,12 @@
 """N-gram Jaccard join: universe-partition pigeonhole, exact.
 
-Documents are sets of distinct 4-word shingles; two link when
-``100 * |A & B| >= 85 * |A | B|``, that is when their symmetric difference D is at
-most ``3 * (|A| + |B|) / 37``.
+Documents are sets of distinct shingles of some words (4 unless said otherwise);
+two link when ``100 * |A & B| >= percent * |A | B|`` (85), that is when their
+symmetric difference D is at most ``(100 - percent) * (|A| + |B|) / (100 + percent)``.
 
-* Exact copies of a set are one class from the start.
+* Exact copies of a set are one class from the start. Classes are told apart by two
+  independent 64-bit sums of their shingles and their size: where the first alone
+  coincides (some hundred times among 10**11 texts), the others are numbered anew.
 * Sizes fall into bands. A band's scheme hashes the shingle universe into
   segments whose budgets add up to more than the largest D that linked members
   can have (H): a segment of budget 1 is matched by equal subsets, one of budget
@@ -28,6 +30,10 @@ bound of D, so nothing is lost), and what passes is verified on the sets. Large
 buckets are compared in blocks, a pair of blocks a task. No bucket is collected
 whole and none is capped.
 
+A signature or bucket that many classes share is summed up by minimum, maximum and
+xor, all combined before the shuffle, and met again by a join that adaptive
+execution splits; no window or list holds a bucket's rows together.
+
 Shingles are compared by 64-bit hashes.
 
 Defined cases: a null text, or one without words, has an empty set and links with
@@ -39,26 +45,26 @@ Only id and text are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, map_chunks, mix
-from tideline.llm.common import saved, small, table
-from tideline.llm.components import connected
+from tideline.llm.common import release, saved, small, table
+from tideline.llm.components import merged
 
 SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A scheme's band spans sizes up to this times its first; bands below LEAST hold no linked pair but equal sets.
-BAND = (100 / PERCENT) ** 2
 #: Rounds of drawn anchors before full comparison.
-ANCHOR_ROUNDS = 4
+ANCHOR_ROUNDS = 2
 #: Rows of one block when a bucket is compared, and cost of a row indexed in accidental pairs.
 BLOCK, ROW_COST = 1024, 4.0
 #: Parity bits of an odd sketch per shingle of the band's first size.
@@ -68,9 +74,9 @@ NAMED = 24
 _U = np.uint64
 
 
-def most_apart(a: int, b: int) -> int:
+def most_apart(a, b, percent: int = PERCENT):
     """The largest symmetric difference that sets of these sizes may have and link."""
-    return (100 - PERCENT) * (a + b) // (100 + PERCENT)
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
 @dataclass(frozen=True)
@@ -81,6 +87,7 @@ class Scheme:
     exact: int  # segments of budget 1
     deletion: int  # segments of budget 2
     spare: int
+    percent: int = PERCENT
 
     @property
     def budget(self) -> int:
@@ -92,21 +99,24 @@ class Scheme:
         return max(1, SKETCH_BITS * self.low // 64)
 
 
-def bands(most: int) -> list[tuple[int, int]]:
-    """(low, high) of all bands up to sets of ``most`` shingles."""
-    low = next(n for n in range(1, 100) if most_apart(n, 100 * n // PERCENT) >= 1)
+def bands(most: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(low, high) of all bands up to sets of ``most`` shingles; below the first there is no linked pair but equal sets.
+
+    A band's sizes span the square of what linked sets may differ by.
+    """
+    low = next(n for n in range(1, 1000) if most_apart(n, 100 * n // percent, percent) >= 1)
     out = []
     while low <= most:
-        high = max(low + 1, math.floor(low * BAND))
+        high = max(low + 1, math.floor(low * (100 / percent) ** 2))
         out.append((low, high))
         low = high
     return out
 
 
-def allocate(band: int, low: int, high: int, classes: int) -> Scheme:
+def allocate(band: int, low: int, high: int, classes: int, percent: int = PERCENT) -> Scheme:
     """The cheapest division of the needed budget among segments for so many classes."""
     top = high - 1
-    need = most_apart(top, 100 * top // PERCENT) + 1
+    need = most_apart(top, 100 * top // percent, percent) + 1
     size = (low + top) / 2
     best: tuple[float, Scheme] | None = None
     for spare in (0, 1, 2, 3):
@@ -124,20 +134,20 @@ def allocate(band: int, low: int, high: int, classes: int) -> Scheme:
             pairs = classes / 2 * (exact * (kept * empty**2 + lone) + deletion * math.exp(-2 * mean) * (1 + 2 * mean) ** 2)
             cost = ROW_COST * rows + pairs
             if best is None or cost < best[0]:
-                best = (cost, Scheme(band, low, high, exact, deletion, spare))
+                best = (cost, Scheme(band, low, high, exact, deletion, spare, percent))
     return best[1]
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """For each document its sorted distinct shingle hashes."""
     chunk = Chunk(texts, lower=True)
     words = chunk.words(SPACE_WORD)
-    hashes, at = words.windows(SHINGLE)
+    hashes, at = words.windows(size)
     cuts = np.searchsorted(at, words.first)
     out = []
     for i in range(chunk.n):
         n = words.per_doc[i]
-        if 0 < n < SHINGLE:
+        if 0 < n < size:
             first = words.first[i]
             out.append(mix(combine([words.hash[first + k : first + k + 1] for k in range(n)]) + _U(n)))
         else:
@@ -145,10 +155,16 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """Number of the class of equal sets."""
+def class_of(s: np.ndarray, moved: dict[int, int] | None = None) -> tuple[int, int]:
+    """Number of the class of equal sets, and the check that tells classes of one number apart.
+
+    ``moved`` has the numbers that more than one class came to, and the check of the
+    one that keeps it; the others are known by their checks.
+    """
     both = np.array([s.sum(dtype=_U), mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)])
-    return int(combine([both[:1], both[1:] + _U(len(s))]).view(np.int64)[0])
+    cls = int(combine([both[:1], both[1:] + _U(len(s))]).view(np.int64)[0])
+    check = int(combine([both[1:] ^ _U(0x2545F4914F6CDD1D), both[:1], np.array([len(s)], _U)]).view(np.int64)[0])
+    return (check if moved and moved.get(cls, check) != check else cls), check
 
 
 def signatures(s: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -178,9 +194,8 @@ def schemes_of(n: int, schemes: list[Scheme]) -> list[Scheme]:
     """The schemes that a set of ``n`` shingles is indexed in."""
     if not schemes or n < schemes[0].low:
         return []
-    lows = [x.low for x in schemes]
-    k = int(np.searchsorted(lows, n, side="right")) - 1
-    partner = -(-PERCENT * n // 100)  # smallest size that may link
+    k = bisect.bisect_right(schemes, n, key=lambda x: x.low) - 1
+    partner = -(-schemes[k].percent * n // 100)  # smallest size that may link
     return [schemes[k], *([schemes[k - 1]] if k and partner < schemes[k].low else [])]
 
 
@@ -191,29 +206,34 @@ def sketch(s: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(len(a) and len(b)) and 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets link."""
+    if not len(a) or not len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int(np.count_nonzero(b[at] == a))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def documents_to_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls); cls is null for empty sets."""
+def documents_to_classes(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n_shingles, cls, chk); the last two are null for empty sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1))
-        return pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())})
+        sets = shingle_sets(batch.column(1), size)
+        cls, chk = zip(*[class_of(s) if len(s) else (None, None) for s in sets], strict=True)
+        return pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(cls, pa.int64()), "chk": pa.array(chk, pa.int64())})
 
-    return map_chunks(docs, run, "doc_id long, n_shingles long, cls long")
+    return map_chunks(docs, run, "doc_id long, n_shingles long, cls long, chk long")
 
 
-def indexed(docs: DataFrame, schemes: list[Scheme]) -> DataFrame:
-    """(sig, cls) of every class; a task emits a class once, however many copies it reads."""
+def indexed(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int]) -> DataFrame:
+    """(sig, cls) of every class; a slice of a task emits a class once, however many copies it reads."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sigs, classes, seen = [], [], set()
-        for s in shingle_sets(batch.column(1)):
+        for s in shingle_sets(batch.column(1), size):
             own = schemes_of(len(s), schemes)
-            if own and (cls := class_of(s)) not in seen:
+            if own and (cls := class_of(s, moved)[0]) not in seen:
                 seen.add(cls)
                 for scheme in own:
                     got = signatures(s, scheme)
@@ -225,7 +245,7 @@ def indexed(docs: DataFrame, schemes: list[Scheme]) -> DataFrame:
     return map_chunks(docs, run, "sig long, cls long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme]) -> DataFrame:
+def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int]) -> DataFrame:
     """(cls, n, band, s, sk, sk_low) of the wanted (doc_id, cls): the set and its sketches for its own and the lower band.
 
     A repeated row gives its class's row again, which does no harm: links are a set.
@@ -233,8 +253,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme]) -> Dat
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for cls, s in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-            if len(s) and class_of(s) == cls:  # another text under the same id is another class
+        for cls, s in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
+            if len(s) and class_of(s, moved)[0] == cls:  # another text under the same id is another class
                 own = schemes_of(len(s), schemes)
                 rows.append((cls, len(s), own[0].band, s.tobytes(), sketch(s, own[0].words).tobytes(), sketch(s, own[1].words).tobytes() if len(own) > 1 else None))
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -244,43 +264,47 @@ def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme]) -> Dat
     return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary")
 
 
-def may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb, ba, bb = (batch.column(k).to_numpy() for k in range(2, 6))
+            own, own_b, low, low_b = (batch.column(k) for k in range(6, 10))
             keep = np.zeros(batch.num_rows, bool)
-            own = [[x.as_buffer() if x.is_valid else None for x in batch.column(k)] for k in range(6, 10)]
-            for i in range(batch.num_rows):
-                # in the lower one of the two bands
-                x = own[0][i] if ba[i] <= bb[i] else own[2][i]
-                y = own[1][i] if bb[i] <= ba[i] else own[3][i]
-                if abs(int(ba[i]) - int(bb[i])) <= 1 and x is not None and y is not None:
-                    apart = int(np.bitwise_count(np.frombuffer(x, _U) ^ np.frombuffer(y, _U)).sum())
-                    keep[i] = apart <= most_apart(int(na[i]), int(nb[i]))
+            # in the lower one of the two bands, whose sketches have one size
+            for i_of, x_of, y_of in ((np.flatnonzero(ba == bb), own, own_b), (np.flatnonzero(ba == bb - 1), own, low_b), (np.flatnonzero(ba - 1 == bb), low, own_b)):
+                low_band = np.minimum(ba, bb)
+                for band in np.unique(low_band[i_of]):
+                    i = i_of[low_band[i_of] == band]
+                    x, y = x_of.take(pa.array(i)), y_of.take(pa.array(i))
+                    here = pc.and_(x.is_valid(), y.is_valid())
+                    i = i[here.to_numpy(zero_copy_only=False)]
+                    if len(i):
+                        x, y = (np.frombuffer(b"".join(z.filter(here).to_pylist()), _U).reshape(len(i), -1) for z in (x, y))
+                        keep[i] = np.bitwise_count(x ^ y).sum(axis=1) <= most_apart(na[i], nb[i], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     of = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "sk", "sk_low")])
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "n_a", "n_b", "band_a", "band_b", "sk_a", "sk_b", "sk_low_a", "sk_low_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) that link. The two sets of a pair meet under the pair's own key, so a class with many pairs is no hot key."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) that link. The two sets of a pair meet under the pair's own key, so a class with many pairs is no hot key there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = small(saved(may_link(pairs, sets).distinct()))
+    left = small(saved(may_link(pairs, sets, percent).distinct()))
     of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")).join(left, "a")
     of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")).join(left, "b")
     return of_a.join(of_b, ["a", "b"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int, percent: int) -> DataFrame:
     """(a, b, more): pairs of different components in one bucket that sketches can't rule out.
 
     ``members`` is (bid, cls, comp) of buckets with several components. For a class
@@ -321,11 +345,11 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
                     rest = rest[mm[rest] != mm[i]]
                 rest = rest[(bb[rest] == scheme) | (bb[i] == scheme)]
                 small, large = np.minimum(nn[rest], nn[i]), np.maximum(nn[rest], nn[i])
-                rest = rest[100 * small >= PERCENT * large]
+                rest = rest[100 * small >= percent * large]
                 if not len(rest):
                     continue
                 apart = np.bitwise_count(own[rest] ^ own[i]).sum(axis=1)
-                passed = apart <= (100 - PERCENT) * (nn[rest] + nn[i]) // (100 + PERCENT)
+                passed = apart <= most_apart(nn[rest], nn[i], percent)
                 rest, apart = rest[passed], apart[passed]
                 # what shares an earlier bucket with this class is answered for there
                 first = np.array([earlier[use[i]].isdisjoint(earlier[use[j]]) for j in rest], bool)
@@ -364,79 +388,103 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
     return rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low", "named", "own").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def classes_of(known: DataFrame) -> DataFrame:
+    """(cls, rep, n, c0, c1): a class's smallest id, its size, and the smallest and largest check under its number."""
+    return known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("chk").alias("c0"), F.max("chk").alias("c1"))
+
+
+def shared_buckets(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int]) -> DataFrame:
+    """(bid, cls, low, size) of the classes of every bucket with at least two; low is the smallest of them.
+
+    A bucket is known by its members: pairs of near copies share many, which count once.
+    """
+    rows = indexed(docs, schemes, size, moved)
+    common = saved(rows.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig", "low"))
+    members = saved(rows.join(small(common), "sig").distinct())
+    kinds = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls")).alias("y"), F.count("*").alias("size"))
+    buckets = saved(members.join(kinds, "sig").select(F.xxhash64("x", "y", "low", "size").alias("bid"), "cls", "low", "size").distinct())
+    release(common, members)
+    return buckets
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document, for shingles of ``size`` words and ``percent`` of the union."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = saved(documents_to_classes(docs))
-    classes = saved(known.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    known = saved(documents_to_classes(docs, size))
+    watch = Observation()
+    classes = saved(classes_of(known), watch, most=F.max("n"), moved=F.sum(F.expr("if(c0 < c1, 1, 0)")))
+    seen = watch.get
+    moved = {}
+    if seen["moved"]:
+        moved = {r.cls: r.c0 for r in classes.where("c0 < c1").select("cls", "c0").collect()}  # next to none, see above
+        keeps = docs.sparkSession.createDataFrame(list(moved.items()), "cls long, keeps long")
+        known = known.join(F.broadcast(keeps), "cls", "left").withColumn("cls", F.when(F.col("keeps") != F.col("chk"), F.col("chk")).otherwise(F.col("cls"))).drop("keeps")
+        classes = saved(classes_of(known))
 
     # the bands, their populations (a few dozen numbers) and their schemes
-    most = classes.agg(F.max("n")).first()[0] or 0
-    limits = bands(int(most))
+    limits = bands(int(seen["most"] or 0), percent)
     lows = F.array(*[F.lit(a) for a, _ in limits]) if limits else F.array().cast("array<int>")
     per_band = {r.band: r["count"] for r in classes.withColumn("band", F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1).groupBy("band").count().collect()}
-    schemes = [allocate(k, a, b, per_band.get(k, 0) + per_band.get(k + 1, 0)) for k, (a, b) in enumerate(limits)]
-
-    of_sig = Window.partitionBy("sig")
-    shared = indexed(docs, schemes).withColumn("low", F.min("cls").over(of_sig)).withColumn("high", F.max("cls").over(of_sig))
-    shared = shared.where("low < high").withColumn("x", F.bit_xor(F.xxhash64("cls")).over(of_sig)).withColumn("y", F.bit_xor(F.hash("cls")).over(of_sig)).withColumn("size", F.count("*").over(of_sig))
-    # a bucket is known by its members: pairs of near copies share many, which count once
-    buckets = saved(shared.select(F.xxhash64("x", "y", "low", "high", "size").alias("bid"), "cls", "low", "size").distinct())
+    schemes = [allocate(k, a, b, per_band.get(k, 0) + per_band.get(k + 1, 0), percent) for k, (a, b) in enumerate(limits)]
 
+    buckets = shared_buckets(docs, schemes, size, moved)
     candidates = saved(buckets.select("cls").distinct().join(classes.where("rep is not null").select("cls", F.col("rep").alias("doc_id")), "cls"))
-    sets = saved(class_sets(docs, candidates, schemes))
+    sets = saved(class_sets(docs, candidates, schemes, size, moved))
     others = buckets.where("low < cls")
     stars = others.groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     twos = others.where("size = 2").select(F.col("low").alias("a"), F.col("cls").alias("b"))
-    links = saved(verified(saved(stars.unionByName(twos).distinct()), sets))
-    labels = connected(links, "a", "b")
+    links = saved(verified(saved(stars.unionByName(twos).distinct()), sets, percent))
+    labels = merged(candidates.select(F.col("cls").alias("node"), F.col("cls").alias("label")), links)
 
     members, most_each, turn = buckets.where("size > 2").select("bid", "cls"), 8, 0
     while True:
         turn += 1
-        of_bid = Window.partitionBy("bid")
-        tagged = members.select("bid", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bid", "cls", F.coalesce("label", "cls").alias("comp"))
-        draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp")).over(of_bid)
-        tagged = tagged.withColumn("c0", F.min("comp").over(of_bid)).withColumn("c1", F.max("comp").over(of_bid)).where("c0 < c1").withColumn("draw", draw)
-        members = saved(tagged.select("bid", "cls", "comp", F.col("draw.h").alias("h"), F.col("draw.cls").alias("anchor"), F.col("draw.comp").alias("anchor_comp")).distinct())
-        if members.isEmpty():
+        tagged = members.select("bid", "cls").join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls")
+        draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("anchor"), F.col("comp").alias("anchor_comp")))
+        open_ = tagged.groupBy("bid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), draw.alias("draw")).where("c0 < c1")
+        watch = Observation()
+        members = saved(tagged.join(open_.select("bid", "draw.*"), "bid"), watch, rows=F.count(F.lit(1)))
+        if not watch.get["rows"]:
             break
         if turn <= ANCHOR_ROUNDS:
             apart = members.where("comp <> anchor_comp").groupBy("cls").agg(F.min_by("anchor", "h").alias("anchor"))
             pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct())
         else:
-            pairs = saved(across(members.select("bid", "cls", "comp"), sets, schemes, most_each))
-        new = saved(verified(pairs.select("a", "b"), sets))
-        if not new.isEmpty():
-            links = saved(links.unionByName(new))
-            labels = connected(links, "a", "b")
+            pairs = saved(across(members.select("bid", "cls", "comp"), sets, schemes, most_each, percent))
+        watch = Observation()
+        links = saved(verified(pairs.select("a", "b"), sets, percent), watch, rows=F.count(F.lit(1)))
+        if watch.get["rows"]:
+            labels = merged(labels, links)
         if turn > ANCHOR_ROUNDS:
-            open_ = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-            if open_.where("coalesce(la, a) <> coalesce(lb, b)").isEmpty():
+            left = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+            if left.where("la <> lb").isEmpty():
                 break
             most_each *= 16
 
     of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "label").select("cls", "component_id")
+    release(buckets, sets, links, members)
     return known.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document per component: the one with the smallest id.
 
     Rows without an id are not in any group and stay. Of several rows with the same id one stays.
     """
-    key, nth = (next(x for k in range(len(docs.columns) + 1) if (x := f"_{name}{k}") not in docs.columns) for name in ("key", "nth"))
-    dropped = small(saved(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()))
+    key = next(x for k in range(len(docs.columns) + 1) if (x := f"_key{k}") not in docs.columns)
+    dropped = small(saved(jaccard_components(docs, size=size, percent=percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()))
     rows = docs.join(dropped, docs["doc_id"] == dropped[key], "left_anti")
-    again = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("times")).where("times > 1").select(key))
-    if again.isEmpty():
+    watch = Observation()
+    again = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("times")).where("times > 1").select(key), watch, rows=F.count(F.lit(1)))
+    if not watch.get["rows"]:
         return rows
     repeated = small(again)
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    of = rows.join(repeated, rows["doc_id"] == repeated[key], "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
-    return rows.join(repeated, rows["doc_id"] == repeated[key], "left_anti").unionByName(of)
+    # which one is settled by a minimum over hashes, combined before the shuffle, so an id that many rows have is no hot key
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = rows.join(repeated, rows["doc_id"] == repeated[key], "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias(key))
+    return rows.join(repeated, rows["doc_id"] == repeated[key], "left_anti").unionByName(one.select(f"{key}.*"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

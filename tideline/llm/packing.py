@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.arrowtext import bounded_batches, pieces
+from tideline.llm.arrowtext import pieces
 from tideline.llm.bpe import encoder
 from tideline.llm.common import saved, table
 
@@ -92,7 +92,6 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
 
 def encoded_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document, numbered by (task, nth) within their length. Save it before :func:`pack`."""
-    bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

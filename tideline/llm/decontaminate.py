@@ -19,23 +19,32 @@ Windows that agree with no item in the characters sampled so far stop walking.
 
 Every candidate is verified exactly, by a bit-parallel dynamic program over the
 item-sized part of the document it points to; before that, many at once are ruled
-out by a lower bound from the item's runs of up to 64 characters (:func:`bounds`).
+out by a lower bound from the item's runs of up to 64 characters (:func:`bounds`),
+at first from a few of the runs. Candidates that point to neighbouring places are
+one, and its distance is the least over all its surroundings.
+
+Items of fewer than ``LEAST`` bytes are too short to walk on. They are found exactly:
+of ``k + 1`` pieces of an item within ``k`` edits one is whole, so the places of all
+pieces (found by one automaton) are its candidates.
 
 The benchmark is searched in blocks of bounded size (broadcast); the documents
 are read once a block and never shuffled.
 
-Defined cases: null and empty texts hold nothing. Null or blank items, and those
-of fewer than ``LEAST`` characters, are no evidence and match nothing. Equal items
-match separately. Repeated rows match each; null ids pass through. Only the named
-columns are read. Empty tables give empty results.
+Defined cases: null and empty texts hold nothing. Null or blank items are no evidence
+and match nothing; those of fewer than 5 characters have no room for an edit and
+match as they are. Equal items match separately. Repeated rows match each; null ids
+pass through. Of equally close places the first counts. A very long text is searched
+whole, in memory of a small multiple of its size. Only the named columns are read, so
+others may have any name. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +102,27 @@ class Index:
     ids: list
     texts: list[str]
     walks: list[Walk]
+    #: The pieces of short items, each with its (item, offset in the item) pairs.
+    short: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the pieces; built once in each worker."""
+        if not hasattr(self, "_automaton"):
+            self._automaton = ahocorasick.Automaton()
+            for piece, places in self.short.items():
+                self._automaton.add_word(piece, (len(piece), places))
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+
+def pieces_of(item: str) -> list[tuple[str, int]]:
+    """Pieces of a short item, of which one stands in any text within ``APART`` of it, and where each begins."""
+    n = int(APART * len(item)) + 1
+    cut = [len(item) * k // n for k in range(n + 1)]
+    return [(item[a:b], a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
@@ -159,7 +189,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     n = (ends - starts)[long] - 4
     inside = np.repeat(starts[long] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     gram = sum(data[inside + k].astype(np.uint64) << np.uint64(8 * k) for k in range(4))
-    return np.union1d(starts, inside[mix(gram) % np.uint64(8) == 0])
+    both = np.concatenate([starts, inside[mix(gram) % np.uint64(8) == 0]])
+    both.sort(kind="stable")  # merges the two
+    return both[np.append(True, both[1:] != both[:-1])]
 
 
 def _prepared(texts: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -217,12 +249,15 @@ def _found(walk: Walk, own: tuple, passages: tuple) -> np.ndarray:
 def build_index(items: list[tuple], seed: int = 7) -> Index:
     """Of (id, text) items; texts are folded here. Items of a group of lengths share their walks; shorter ones get more."""
     items = [(i, fold(t)) for i, t in items if t is not None]
-    items = [(i, t) for i, t in items if len(t.encode()) >= LEAST]
+    items = [(i, t) for i, t in items if t.strip(" ")]
     index = Index([i for i, _ in items], [t for _, t in items], [])
     rng = np.random.default_rng(seed)
     sizes = np.array([len(t.encode()) for t in index.texts], np.int64)
+    for j in np.flatnonzero(sizes < LEAST):
+        for piece, offset in pieces_of(index.texts[j]):
+            index.short.setdefault(piece, []).append((int(j), offset))
     for k, (least, span, bits) in enumerate(SPANS):
-        here = (sizes >= least) & (sizes < (SPANS[k - 1][0] if k else 1 << 62))
+        here = (sizes >= max(least, LEAST)) & (sizes < (SPANS[k - 1][0] if k else 1 << 62))
         groups = {}
         for g in np.unique(np.log2(sizes[here]) * 2 // 1):  # lengths within a factor of the square root of 2
             members = np.flatnonzero(here & (np.log2(sizes) * 2 // 1 == g))
@@ -281,50 +316,79 @@ def closest(item: str, text: str) -> tuple[int, int]:
 
 def _codes(text: str) -> np.ndarray:
     """One byte a character; equal characters have equal ones."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
     return (np.frombuffer(text.encode("utf-32-le"), np.uint32) & 0xFF).astype(np.int64)
 
 
-def bounds(pairs: list[tuple[str, str]]) -> np.ndarray:
+def few(item: str, apart: float = APART) -> int:
+    """So many of an item's runs are far from other texts by more than the item may be; unlike passages differ in some 36 of 64 characters."""
+    return min(-(-len(item) // 64), int(apart * len(item)) // 36 + 1)
+
+
+def bounds(pairs: list[tuple[str, str]], where: list[list[int]] | None = None) -> np.ndarray:
     """For each (item, text), a lower bound of the item's edit distance to any part of the text.
 
     The item is cut into runs of up to 64 characters; the least distances of the
-    runs to any part of the text, in one machine word each, sum to the bound.
+    runs to any part of the text, in one machine word each, sum to the bound. With
+    ``where`` a few of the runs must do, each at the part of the text where it can
+    lie if the item begins between the two given places but for its edits.
     """
-    runs = [-(-len(item) // 64) for item, _ in pairs]
-    lane = np.repeat(np.arange(len(pairs)), runs)
     match: dict[str, np.ndarray] = {}
     sizes: dict[str, np.ndarray] = {}
+    begins: dict[str, np.ndarray] = {}
     for item in {item for item, _ in pairs}:
         n, m = len(item), -(-len(item) // 64)
         cut = np.arange(m + 1) * n // m
         of = np.repeat(np.arange(m), np.diff(cut))
-        match[item] = np.zeros((m, 257), np.uint64)
-        np.bitwise_or.at(match[item], (of, _codes(item)), np.uint64(1) << (np.arange(n) - cut[of]).astype(np.uint64))
-        sizes[item] = np.diff(cut)
-    table = np.concatenate([match[item] for item, _ in pairs])
-    size = np.concatenate([sizes[item] for item, _ in pairs])
-    text = np.full((len(pairs), max(len(t) for _, t in pairs)), 256)
-    for row, (_, t) in zip(text, pairs, strict=True):
-        row[: len(t)] = _codes(t)
-    text = np.ascontiguousarray(text[lane].T) + np.arange(len(lane)) * 257
-    flat, one, top = table.reshape(-1), np.uint64(1), (size - 1).astype(np.uint64)
-    up, down = np.full(len(lane), ~np.uint64(0)), np.zeros(len(lane), np.uint64)
-    score, best = size.copy(), size.copy()
+        size = np.diff(cut)
+        # runs stand in the high bits of their words; the bits below match anything at no cost
+        own = np.repeat((np.uint64(1) << (64 - size).astype(np.uint64)) - np.uint64(1), 257).reshape(m, 257)
+        np.bitwise_or.at(own, (of, _codes(item)), np.uint64(1) << (np.arange(n) - cut[of] + 64 - size[of]).astype(np.uint64))
+        use = np.arange(f := few(item)) * m // f if where is not None else np.arange(m)
+        match[item], sizes[item], begins[item] = own[use], size[use], cut[use]
+    lane = np.repeat(np.arange(len(pairs)), [len(sizes[item]) for item, _ in pairs])
+    flat = np.concatenate([match[item] for item, _ in pairs]).reshape(-1)
+    score = np.concatenate([sizes[item] for item, _ in pairs]).astype(np.int64)
+    parts = []
+    for k, (item, t) in enumerate(pairs):
+        codes, at = _codes(t), where[k] if where is not None else []
+        most = int(APART * len(item))
+        for begin, size in zip(begins[item].tolist(), sizes[item].tolist(), strict=True):
+            parts.append(codes[max(0, at[0] + begin - most) : max(0, at[1] + begin + size + most)] if at else codes)
+    text = np.full((len(lane), max(map(len, parts))), 256, np.int64)
+    for row, codes in zip(text, parts, strict=True):
+        row[: len(codes)] = codes
+    text = np.ascontiguousarray(text.T)
+    text += np.arange(len(lane)) * 257
+    up, down, best = ~np.uint64(0) << (64 - score).astype(np.uint64), np.zeros(len(lane), np.uint64), score.copy()
+    eq, xv, xh, ph, mh = (np.empty_like(up) for _ in range(5))
+    p, m, last = ph.view(np.int64), mh.view(np.int64), np.empty_like(score)
     for at in text:
-        eq = flat[at]
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph, mh = down | ~(xh | up), up & xh
-        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
-        ph <<= one
-        up = (mh << one) | ~(xv | ph)
-        down = ph & xv
+        np.take(flat, at, out=eq, mode="clip")
+        np.bitwise_or(eq, down, out=xv)
+        np.bitwise_and(eq, up, out=xh)
+        xh += up
+        xh ^= up
+        xh |= eq
+        np.bitwise_or(xh, up, out=ph)
+        np.invert(ph, out=ph)
+        ph |= down
+        np.bitwise_and(up, xh, out=mh)
+        score -= np.right_shift(p, 63, out=last)  # the highest bit is the run's last row
+        score += np.right_shift(m, 63, out=last)
         np.minimum(best, score, out=best)
+        np.left_shift(ph, 1, out=ph)
+        np.left_shift(mh, 1, out=mh)
+        np.bitwise_or(xv, ph, out=up)
+        np.invert(up, out=up)
+        up |= mh
+        np.bitwise_and(ph, xv, out=down)
     return np.bincount(lane, best, len(pairs)).astype(np.int64)
 
 
 #: Runs of items whose bounds are worked out at once, times characters of text.
-LANES = 1 << 20
+LANES = 1 << 21
 
 
 def candidates(texts: pa.Array, index: Index) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -343,55 +407,97 @@ def candidates(texts: pa.Array, index: Index) -> tuple[Chunk, np.ndarray, np.nda
         place = start[np.repeat(hit, n)]
         doc = np.searchsorted(chunk.start, place, side="right") - 1
         begin = place - chunk.start[doc] - walk.offset[which]
-        found.append(np.stack([doc, walk.item[which], begin >> 5], axis=1))
-    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    return chunk, data, rows
+        found.append(((doc * len(index.texts) + walk.item[which]) << 32) + (begin >> 5) + (1 << 31))
+    keys = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+    both, cell = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
+    return chunk, data, np.stack([both // len(index.texts), both % len(index.texts), cell], axis=1)
 
 
-def near(places: list[tuple], index: Index, apart: float) -> list[tuple]:
-    """The places (document, item, cell, byte, text) that :func:`bounds` doesn't rule out."""
+def near(places: list[tuple], index: Index, apart: float, some: bool = False) -> list[tuple]:
+    """The places (document, item, byte, text, where) that :func:`bounds` doesn't rule out."""
     keep: list[int] = []
-    some: list[int] = []
+    held: list[int] = []
     lanes = 0
-    order = sorted(range(len(places)), key=lambda k: len(places[k][4]))
+    order = sorted(range(len(places)), key=lambda k: len(places[k][3]))
     for k in order:
-        item, text = index.texts[places[k][1]], places[k][4]
-        lanes += -(-len(item) // 64)
-        some.append(k)
+        item, text = index.texts[places[k][1]], places[k][3]
+        lanes += few(item) if some else -(-len(item) // 64)
+        held.append(k)
         if lanes * len(text) >= LANES or k == order[-1]:
-            least = bounds([(index.texts[places[j][1]], places[j][4]) for j in some])
-            keep += [j for j, x in zip(some, least.tolist(), strict=True) if x <= int(apart * len(index.texts[places[j][1]]))]
-            some, lanes = [], 0
+            least = bounds([(index.texts[places[j][1]], places[j][3]) for j in held], [places[j][4] for j in held] if some else None)
+            keep += [j for j, x in zip(held, least.tolist(), strict=True) if x <= int(apart * len(index.texts[places[j][1]]))]
+            held, lanes = [], 0
     return [places[k] for k in sorted(keep)]
 
 
+def surroundings(chunk: Chunk, data: np.ndarray, rows: np.ndarray, index: Index, apart: float) -> list[tuple]:
+    """(document, item, byte, text, where) around the cells of candidates; cells whose surroundings meet are one place.
+
+    ``where`` has the first and last character of the text at which a candidate has the item begin.
+    """
+    high, higher = (np.concatenate([[0], np.cumsum(data >= b, dtype=np.int32)]) for b in (0x80, 0xE0))
+    size, most, plain = (np.array(x, np.int64) for x in zip(*((len(t.encode()), int(apart * len(t)), t.isascii()) for t in index.texts), strict=True))
+    doc, item, cell = rows.T
+    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (cell[1:] - cell[:-1] <= 1 + most[item[1:]] // 16)
+    begins = np.flatnonzero(np.append(True, ~same))
+    first, last = cell[begins], cell[np.append(begins[1:], len(rows)) - 1]
+    doc, item = doc[begins], item[begins]
+    a, b = chunk.start[doc], chunk.start[doc + 1] - 1
+    first, begin_last = a + first * 32, a + last * 32 + 32  # bytes
+    last = begin_last + size[item]
+    lo, hi = np.maximum(a, first - 4 * most[item]), np.minimum(b, last + 4 * most[item])
+    hi = np.maximum(hi, lo)
+    widest = np.where((plain[item] > 0) & (high[lo] == high[hi]), 1, np.where(higher[lo] == higher[hi], 2, 4))  # bytes of a character
+    lo, hi = np.maximum(a, first - widest * most[item]), np.minimum(b, last + widest * most[item])
+    # characters before a byte; bytes may drift from characters by what edits change
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+    slack, end = (widest - 1) * most[item], len(data)
+    first, last = chars[np.clip(first, 0, end)] - chars[lo] - slack, chars[np.clip(begin_last, 0, end)] - chars[lo] + slack
+    places = []
+    some = np.flatnonzero(hi > lo)
+    for d, i, lo_, hi_, begin, *where in zip(*(x[some].tolist() for x in (doc, item, lo, hi, a, first, last)), strict=True):
+        if part := data[lo_:hi_].tobytes().decode(errors="ignore"):
+            while lo_ < hi_ and 0x80 <= data[lo_] < 0xC0:  # the rest of a character that the cut went through
+                lo_ += 1
+            places.append((d, i, lo_ - begin, part, where))
+    return places
+
+
+def short_places(chunk: Chunk, data: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, str]]:
+    """(document, item, byte, text) around the pieces of short items."""
+    find = index.automaton().iter
+    for d in range(chunk.n):
+        raw = data[chunk.start[d] : chunk.start[d + 1] - 1].tobytes()
+        text = raw.decode()
+        seen: set[tuple[int, int]] = set()
+        for end, (n, places) in find(text):
+            for item, offset in places:
+                own = index.texts[item]
+                most = int(APART * len(own))
+                at = max(0, end + 1 - n - offset - most)
+                if (item, at) not in seen:
+                    seen.add((item, at))
+                    yield d, item, at if len(raw) == len(text) else len(text[:at].encode()), text[at : at + len(own) + 2 * most + 1]
+
+
 def matches(texts: pa.Array, index: Index, apart: float = APART) -> list[tuple[int, int, int, int, int]]:
     """(document, item, distance, start, end) of every contaminated document and item; bytes of the closest part's surroundings."""
-    if not index.walks:
+    if not index.texts:
         return []
     chunk, data, rows = candidates(texts, index)
     places = []
-    for doc, item, cell in rows.tolist():
-        text = index.texts[item]
-        most = int(apart * len(text))
-        size = len(text.encode())
-        a, b = chunk.start[doc], chunk.start[doc + 1] - 1
-        around = data[max(a, a + cell * 32 - 4 * most) : min(b, a + cell * 32 + 32 + size + 4 * most)]
-        widest = 1 if size == len(text) and (around < 0x80).all() else 2 if (around < 0xE0).all() else 4  # bytes of a character
-        lo, hi = max(a, a + cell * 32 - widest * most), min(b, a + cell * 32 + 32 + size + widest * most)
-        if hi > lo and (part := data[lo:hi].tobytes().decode(errors="ignore")):
-            places.append((doc, item, cell, int(lo - a), part))
+    if len(rows):
+        places = near(near(surroundings(chunk, data, rows, index, apart), index, apart, some=True), index, apart)
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    last: tuple[int, int, int] | None = None
-    for doc, item, cell, lo, part in near(places, index, apart):
-        if last == (doc, item, cell - 1) and (doc, item) in out:
-            last = (doc, item, cell)  # the neighbouring cell's surroundings held this one
+    for doc, item, lo, part in (*(x[:4] for x in places), *(short_places(chunk, data, index) if index.short else ())):
+        known = out.get((doc, item), (1 << 30,))[0]
+        if not known:
             continue
         text = index.texts[item]
         most, size = int(apart * len(text)), len(text.encode())
         distance, end = closest(text, part)
-        last = (doc, item, cell)
-        if distance <= most and (known := out.get((doc, item), (1 << 30,)))[0] > distance:
+        if distance <= most and known > distance:
             stop = lo + len(part[:end].encode())
             out[doc, item] = (distance, max(0, stop - size - most), stop)
     return [(d, i, *x) for (d, i), x in sorted(out.items())]

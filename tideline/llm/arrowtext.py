@@ -57,7 +57,7 @@ def _byte_values() -> np.ndarray:
 
 
 #: Bytes of which the terms of span hashes are held at once; longer chunks are worked on in blocks.
-BLOCK_BYTES = CHUNK_BYTES * 2
+BLOCK_BYTES = CHUNK_BYTES + (CHUNK_BYTES >> 2)
 
 
 @lru_cache(maxsize=1)

@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tideline.llm.arrowtext import give_back
+
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +70,20 @@ def shared_root(spark: SparkSession) -> str:
 _own_root: list[str] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Arrow batches are small, for tables whose rows may be very long; the session's own settings come back."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, watch: Observation | None = None, **metrics: Column) -> DataFrame:
     """``df`` written to shared storage and read again, so its lineage ends there.
 
@@ -68,7 +93,8 @@ def saved(df: DataFrame, watch: Observation | None = None, **metrics: Column) ->
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tideline-{uuid.uuid4().hex}"
     _tables[path] = spark
-    (df.observe(watch, *[m.alias(name) for name, m in metrics.items()]) if watch else df).write.parquet(path)
+    with small_batches(spark):
+        (df.observe(watch, *[m.alias(name) for name, m in metrics.items()]) if watch else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -85,6 +111,12 @@ def release(*tables: DataFrame) -> None:
             _remove(_tables.pop(path), path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: it does so as the driver's garbage is collected, which may be long after."""
+    gc.collect()  # Python's handles on plans keep them alive
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -100,6 +132,20 @@ def _remove_all() -> None:
             return
 
 
+def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], T]) -> T:
+    """``fit`` of all rows of a bounded table, worked out in one task: the driver holds neither the rows nor what fitting needs."""
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b.cast(schema) if b.schema != schema else b for b in batches]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(pa.Table.from_batches(got, schema)))], pa.binary())})
+        give_back()
+
+    with small_batches(rows.sparkSession):
+        model = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(model[0]) if model else fit(schema.empty_table())  # a plan known to be empty runs no task
+
+
 #: Rows of two or three numbers that may be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -22,5 +22,10 @@ def training_labels(labels: DataFrame, label: str, most: int, parts: int | None
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the sampled documents; the sample's size is bounded by its caller."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, text, label), one row for each sampled id that has a document; the sample's size is bounded by its caller.
+
+    Of several texts under one id the smallest counts: a minimum is combined before
+    the shuffle, so an id that very many rows have is neither a hot key nor collected.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

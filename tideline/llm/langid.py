@@ -13,9 +13,11 @@ probability is under the lower of 1.5 / languages and the ``REJECT_QUANTILE`` qu
 those calibration documents.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and
-rejected. Without any training row every text is ``und``. Rows with null lang
-are never learned from; null ids pass through; repeated rows are scored one by
-one; other columns are not read.
+rejected. Without any training row every text is ``und``; empty tables give empty
+results. A very long text is read whole, in memory of a small multiple of its size.
+Rows with null lang are never learned from; null ids pass through; repeated rows are
+scored one by one and learned from once; equal scores go to the first language by
+name; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import LOWER, Chunk, lut, map_chunks
-from tideline.llm.common import bounded, held_out, table
+from tideline.llm.common import bounded, held_out, in_one_task, table
 
 TRAIN_ROWS = 2_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 12, 4, 0.5
@@ -127,38 +129,47 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: lis
     return model
 
 
-def sample_features(rows: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
-    """Buckets and shares of a bounded sample of (doc_id, text, lang)."""
+def sample_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, lang, ids, counts): buckets of (doc_id, lang, text) rows and how often each stands there."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chunk = Chunk(batch.column(1))
+        chunk = Chunk(batch.column(2))
         both = [(grams_) for grams_ in grams(chunk)]
         ids, counts = [], []
         for a, b in zip(chunk.start[:-1], chunk.start[1:], strict=True):
             own, c = np.unique(np.concatenate([g[a:b] for g in both]), return_counts=True)
             ids.append(own[own > 0]), counts.append(c[own > 0])
-        return pa.record_batch({"doc_id": batch.column(0), "lang": batch.column(2), "ids": pa.array(ids, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32()))})
+        return pa.record_batch({"doc_id": batch.column(0), "lang": batch.column(1), "ids": pa.array(ids, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32()))})
 
-    got = map_chunks(rows, run, "doc_id long, lang string, ids array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    out = []
-    for ids, counts in zip(got["ids"], got["counts"], strict=True):
-        c = counts.values.to_numpy().astype(np.float64)
-        out.append((ids.values.to_numpy(), c / max(c.sum(), 1)))
-    return out, got["lang"].to_pylist()
+    return map_chunks(rows, run, "doc_id long, lang string, ids array<int>, counts array<int>")
 
 
-def train(docs: DataFrame, most: int = TRAIN_ROWS, parts: int = 5, remainder: int = 0) -> Model | None:
-    """Fitted on the text and lang of a bounded sample outside the held-out fold."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", parts, remainder))
-    chosen = F.broadcast(bounded(rows.select("doc_id").distinct(), "doc_id", most))
-    features, langs = sample_features(rows.join(chosen, "doc_id"))
+def fit_sample(rows: pa.Table) -> Model | None:
+    """The model of a bounded sample, in an order that doesn't depend on how the rows came."""
+    rows = rows.sort_by([("doc_id", "ascending")])
+    langs, features = rows["lang"].to_pylist(), []
     if not langs:
         return None
+    for ids, counts in zip(rows["ids"], rows["counts"], strict=True):
+        c = counts.values.to_numpy().astype(np.float64)
+        features.append((ids.values.to_numpy(), c / max(c.sum(), 1)))
     order = np.random.default_rng(5).permutation(len(langs))
     names = sorted(set(langs))
     return fit([features[i] for i in order], np.array([names.index(langs[i]) for i in order]), names)
 
 
+def train(docs: DataFrame, most: int = TRAIN_ROWS, parts: int = 5, remainder: int = 0) -> Model | None:
+    """Fitted on the text and lang of a bounded sample of ids outside the held-out fold.
+
+    Of several labelled texts under one id the one with the smallest language and
+    text counts; a minimum is combined before the shuffle.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", parts, remainder))
+    chosen = F.broadcast(bounded(rows.select("doc_id").distinct(), "doc_id", most))
+    one = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.lang", "one.text")
+    return in_one_task(sample_features(one), fit_sample)
+
+
 def label_batch(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether the document is rejected."""
     chunk = Chunk(texts)

@@ -1,13 +1,16 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Training is numpy on the driver, on the statistics (a few numbers a document) of
+Training is numpy in one task, on the statistics (a few numbers a document) of
 at most ``most`` labelled documents. The trees are complete binary trees kept in
 flat arrays, so that scoring walks all rows of a batch down one level at a time
 with array indexing and no branching in Python per row.
 
 Defined cases: null and empty texts have all statistics zero and are scored like
-any other row. Without any training label the score is 0.5 throughout. Only id
-and text are read; repeated rows are scored one by one; null ids pass through.
+any other row; a very long text is scored whole, in memory of a small multiple of
+its size. Without any training label the score is 0.5 throughout; empty tables
+give empty results. Only id and text are read, so other columns may have any name;
+repeated rows are scored one by one, and learned from once; ties of a split go to
+the first feature; null ids pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import map_chunks
-from tideline.llm.common import held_out, table
+from tideline.llm.common import held_out, in_one_task, table
 from tideline.llm.doc_stats import COUNTS, RATIOS, SCHEMA, batch_statistics, statistics
 from tideline.llm.labelled import labelled_texts, training_labels
 
@@ -108,18 +111,23 @@ def matrix(got: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.asarray(got[c], dtype=np.float64) for c in FEATURES], axis=1)
 
 
-def sample_statistics(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of a bounded sample, on the driver, in order of id."""
+def sample_statistics(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Statistics and labels of a bounded sample."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch_statistics(batch).append_column("label", batch.column(2))
 
-    rows = map_chunks(labelled_texts(docs, sample), run, SCHEMA + ", label int").toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
-    return rows[FEATURES].to_numpy(dtype=np.float64), rows["label"].to_numpy(dtype=np.float64)
+    return map_chunks(labelled_texts(docs, sample), run, SCHEMA + ", label int")
+
+
+def sample_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics' matrix and the labels, in order of id."""
+    rows = rows.sort_by([("doc_id", "ascending")])
+    return matrix({c: rows[c].to_numpy() for c in FEATURES}), rows["label"].to_numpy().astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, parts: int = 3, remainder: int = 1) -> Trees:
-    return fit(*sample_statistics(docs, training_labels(labels, label, most, parts, remainder)))
+    return in_one_task(sample_statistics(docs, training_labels(labels, label, most, parts, remainder)), lambda rows: fit(*sample_arrays(rows)))
 
 
 def score(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

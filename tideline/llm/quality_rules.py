@@ -6,9 +6,12 @@ labelled sample, pruned on the last third, and kept while they stay precise; the
 documents a rule covers leave the sample before the next one is grown. The list
 is emitted as one ordered ``CASE WHEN`` of Spark columns.
 
-Defined cases: null and empty texts have no words, so they fail the base rules.
-Without labels no rule is learned and the base rules alone decide. Only id and
-text are read; repeated rows are judged one by one; null ids pass through.
+Defined cases: null and empty texts have no words, so they fail the base rules; a
+very long text is judged whole, in memory of a small multiple of its size. Without
+labels no rule is learned and the base rules alone decide; empty tables give empty
+results. Only id and text are read, so other columns may have any name; repeated
+rows are judged one by one, and learned from once; a tie of gains goes to the first
+statistic; null ids pass through.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import map_chunks
-from tideline.llm.common import table
+from tideline.llm.common import in_one_task, table
 from tideline.llm.doc_stats import SCHEMA, batch_statistics
 from tideline.llm.labelled import training_labels
-from tideline.llm.quality_gbt import FEATURES, sample_statistics
+from tideline.llm.quality_gbt import FEATURES, sample_arrays, sample_statistics
 
 #: Labelled documents that rules are learned from, at most.
 TRAIN_ROWS = 20_000
@@ -133,7 +136,7 @@ def base_failed() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> list[Rule]:
-    return learn(*sample_statistics(docs, training_labels(labels, label, most)))
+    return in_one_task(sample_statistics(docs, training_labels(labels, label, most)), lambda rows: learn(*sample_arrays(rows)))
 
 
 def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -296,7 +296,7 @@ def test_pigeonhole(n, seed, classes):
 
 def test_full_comparison_alone_finds_all(spark, monkeypatch):
     """Without rounds of anchors, and with tiny blocks and answers, the result is the same."""
-    monkeypatch.setattr(ngram_join, "ANCHOR_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "ANCHORS_PAY", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     test_join_near_the_threshold(spark, 1, 4, 85)
 

@@ -21,7 +21,7 @@ symmetric difference D is at most ``(100 - percent) * (|A| + |B|) / (100 + perce
 
 Links only matter for connected components, so pairs are verified lazily. Buckets
 with the same members count once. First each class meets the first one of its
-buckets, and both members of a bucket of two meet; then, for a few rounds, the
+buckets; then the members of buckets of two that are not connected yet; then, for as many rounds as pay, the
 classes of buckets that still hold several components meet an anchor drawn anew;
 at last, whatever buckets still hold several components are compared in full,
 members of different components only. Pairs are first held against odd sketches
@@ -57,20 +57,22 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, map_chunks, mix
-from tideline.llm.common import release, saved, small, table
+from tideline.llm.common import BROADCAST_ROWS, cleared, release, saved, small, table
 from tideline.llm.components import merged
 
 SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Rounds of drawn anchors before full comparison.
-ANCHOR_ROUNDS = 2
+#: Rounds of drawn anchors go on while one links at least this share of the classes that met an anchor; then comes full comparison.
+ANCHORS_PAY = 0.005
+#: Anchors that a class meets in one round, of those of its buckets.
+ANCHORS = 6
 #: Rows of one block when a bucket is compared, and cost of a row indexed in accidental pairs.
 BLOCK, ROW_COST = 1024, 4.0
 #: Parity bits of an odd sketch per shingle of the band's first size.
-SKETCH_BITS = 4
+SKETCH_BITS = 2
 #: First buckets of a class that its rows name, so that two classes are compared to an end in the first they share.
-NAMED = 24
+NAMED = 8
 _U = np.uint64
 
 
@@ -96,7 +98,7 @@ class Scheme:
     @property
     def words(self) -> int:
         """64-bit words of this band's odd sketches."""
-        return max(1, SKETCH_BITS * self.low // 64)
+        return -(-SKETCH_BITS * self.low // 64)
 
 
 def bands(most: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -291,17 +293,18 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) that link. The two sets of a pair meet under the pair's own key, so a class with many pairs is no hot key there."""
+    """The (a, b) that link. The first one's set goes with the pair to where the second one's is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = small(saved(may_link(pairs, sets, percent).distinct()))
-    of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")).join(left, "a")
-    of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")).join(left, "b")
-    return of_a.join(of_b, ["a", "b"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    left = saved(may_link(pairs, sets, percent).distinct())
+    few = F.broadcast if left.count() <= BROADCAST_ROWS else lambda df: df
+    of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")).join(few(left), "a")
+    of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")).join(few(left.select("b")), "b", "left_semi")
+    return of_a.join(of_b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int, percent: int) -> DataFrame:
@@ -400,7 +403,9 @@ def shared_buckets(docs: DataFrame, schemes: list[Scheme], size: int, moved: dic
     """
     rows = indexed(docs, schemes, size, moved)
     common = saved(rows.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig", "low"))
+    cleared(docs.sparkSession)
     members = saved(rows.join(small(common), "sig").distinct())
+    cleared(docs.sparkSession)
     kinds = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls")).alias("y"), F.count("*").alias("size"))
     buckets = saved(members.join(kinds, "sig").select(F.xxhash64("x", "y", "low", "size").alias("bid"), "cls", "low", "size").distinct())
     release(common, members)
@@ -433,10 +438,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     others = buckets.where("low < cls")
     stars = others.groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     twos = others.where("size = 2").select(F.col("low").alias("a"), F.col("cls").alias("b"))
-    links = saved(verified(saved(stars.unionByName(twos).distinct()), sets, percent))
-    labels = merged(candidates.select(F.col("cls").alias("node"), F.col("cls").alias("label")), links)
-
-    members, most_each, turn = buckets.where("size > 2").select("bid", "cls"), 8, 0
+    labels = candidates.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
+    for pairs in (stars, twos.distinct()):  # the second only where the first has not settled it
+        cleared(docs.sparkSession)
+        apart = pairs.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb").select("a", "b")
+        links = saved(verified(saved(apart), sets, percent))
+        cleared(docs.sparkSession)
+        labels = merged(labels, links)
+
+    members, most_each, turn, drawn = buckets.where("size > 2").select("bid", "cls"), 8, 0, ANCHORS_PAY <= 1
     while True:
         turn += 1
         tagged = members.select("bid", "cls").join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls")
@@ -446,16 +456,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         members = saved(tagged.join(open_.select("bid", "draw.*"), "bid"), watch, rows=F.count(F.lit(1)))
         if not watch.get["rows"]:
             break
-        if turn <= ANCHOR_ROUNDS:
-            apart = members.where("comp <> anchor_comp").groupBy("cls").agg(F.min_by("anchor", "h").alias("anchor"))
-            pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct())
+        met = Observation()
+        if drawn:
+            # a class is in as many buckets as its scheme has segments at most
+            some = F.slice(F.array_sort(F.collect_set(F.struct("h", "anchor"))), 1, ANCHORS)
+            apart = members.where("comp <> anchor_comp").groupBy("cls").agg(some.alias("some")).select("cls", F.explode("some.anchor").alias("anchor"))
+            pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct(), met, rows=F.count(F.lit(1)))
         else:
             pairs = saved(across(members.select("bid", "cls", "comp"), sets, schemes, most_each, percent))
         watch = Observation()
         links = saved(verified(pairs.select("a", "b"), sets, percent), watch, rows=F.count(F.lit(1)))
+        cleared(docs.sparkSession)
         if watch.get["rows"]:
             labels = merged(labels, links)
-        if turn > ANCHOR_ROUNDS:
+        if drawn:
+            drawn = watch.get["rows"] >= ANCHORS_PAY * met.get["rows"]
+        else:
             left = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
             if left.where("la <> lb").isEmpty():
                 break

@@ -45,7 +45,7 @@ def test_requests_parse():
         resolve({"imu": "/imu"}, ["imu", "limage_raw"])
 
 
-LINES = st.text(alphabet="q tabkilBAG0123456789.-", max_size=14)
+LINES = st.one_of(st.text(alphabet="q tabkilBAG0123456789.-+eE_\t\x1c", max_size=14), st.sampled_from(["q imu 1d", "qt imu 1f 2", "q imu 1_0", "q imu nan", "q imu inf", "q imu 1e999", "q imu 1e3", "q imu .5", "\tq imu 1."]))
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -173,9 +173,11 @@ def test_files(spark, tmp_path):
     (d / "c.txt").write_text("{}")
     got = files.read_aoi(spark, str(d))
     assert {(r.series, r.n) for r in got.groupBy("series").agg(F.count("t").alias("n")).collect()} == {("a.aoi", 3), ("b.aoi", 0)}
+    assert {r.series: r.aoi is None for r in aoi_avg(got).collect()} == {"a.aoi": False, "b.aoi": True}
     assert aoi_avg(got.where("series = 'a.aoi'")).first().aoi == pytest.approx(3.083333, abs=1e-6)
     files.write_aoi(got.where("t is not null"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().time_sequence == [[0.0, 1.0], [2.0, 3.0], [5.0, 6.0]]
+    assert spark_rows(files.read_aoi(spark, str(tmp_path / "out"))) == spark_rows(got.where("t is not null"))
     (tmp_path / "signal.json").write_text(json.dumps({"a": -50, "b": -61}))
     assert [(r.tick, r.dbm) for r in files.signal_replay(spark, str(tmp_path / "signal.json")).collect()] == [(0, -50.0), (1, -61.0)]
     lines = spark.createDataFrame([("Signal level=-52 dBm",), ("nothing",)], "line string")
@@ -196,3 +198,54 @@ def test_sampler_streams(spark):
     from tideline.streaming.live import sampler
 
     assert sampler(spark, "Signal level=-52 dBm").isStreaming
+
+
+def test_windows_reach_the_stored_column(spark):
+    from tideline import queries
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    for name in ("q_latest", "qt_range", "absolute_range", "split_range", "q_latest_ties"):
+        plan = queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+        assert "GreaterThanOrEqual(" in pushed and "LessThanOrEqual(" in pushed, (name, pushed)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_times_without_a_zone_stay_so(spark):
+    from tideline.functions.time import micros, stored_between
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT * FROM VALUES (timestamp_ntz'2024-03-10 02:30:00'), (timestamp_ntz'2024-03-10 03:30:00.000001'), (timestamp_ntz'1969-12-31 23:59:59.5') t(ts)")
+        want = [1710037800000000, 1710041400000001, -500000]
+        assert [r.t for r in df.select(micros(df, "ts").alias("t")).collect()] == want
+        assert [df.where(stored_between(df, "ts", t, t)).count() for t in want] == [1, 1, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_binary_payloads_are_packed(spark):
+    rows = spark.createDataFrame([(1, "a", 0, 2, 1, b"\xff"), (1, "a", 0, 1, 2, b"\x00\xfe"), (1, "a", 0, 3, 3, None)], "robot_id int, topic string, conn_id int, t_us long, seq long, data binary")
+    assert bytes(respond.pack(rows).first().payload) == b"\x00\xfe\xff"
+
+
+def test_a_growing_container_is_read_anew(spark, tmp_path):
+    path = str(tmp_path / "one.bag")
+    row = lambda t, n: spark.createDataFrame([(1, "click", 0, t, n, "x")], MESSAGE)
+    convert(row(10_000_000, 1), path)
+    s = Session(spark, {"clk": "click"}, None, str(tmp_path), log=str(tmp_path / "took"))
+    s.run("BAG one.bag")
+    assert seqs(s.run("q clk 1")) == [1]
+    row(99_000_000, 2).write.mode("append").partitionBy("topic").parquet(path)
+    assert seqs(s.run("q clk 1")) == [2]
+    s.run("kill")
+    assert spark.read.json(str(tmp_path / "took")).count() == 4
+
+
+def test_many_topics_are_joined(spark, monkeypatch):
+    from tideline.sources import messages
+
+    few = spark_rows(event_messages(spark, SMALL))
+    monkeypatch.setattr(messages, "LITERAL_TOPICS", 2)
+    assert spark_rows(event_messages(spark, SMALL)) == few

@@ -19,9 +19,12 @@ def aoi_avg(samples: DataFrame, delta0: float = 0.0, horizon: float | None = Non
 
     Up to the first arrival the result is an area; after it an average over the
     horizon (default: the last arrival). ``textbook`` halves the squares.
-    A series without samples has no row.
+    Where ``samples`` have a ``delta``, each series takes its own for ``delta0``. A
+    series whose rows have no sample (an empty or unreadable file) is null.
     """
     at = F.struct("t", "i")
+    own = "delta" in samples.columns
+    named = samples.groupBy("series").agg((F.max("delta") if own else F.lit(float(delta0))).alias("d0"))
     s = samples.where("t is not null").select("series", "i", "t", "tp")
     whole = F.lit(float(horizon)) if horizon is not None else F.max_by("tp", at)
     edge = s.groupBy("series").agg(whole.alias("hz"), F.min_by("tp", at).alias("tp0"), F.min("t").alias("t0"), F.max("t").alias("t1"))
@@ -35,9 +38,11 @@ def aoi_avg(samples: DataFrame, delta0: float = 0.0, horizon: float | None = Non
     step = F.col("t") - F.col("before")
     area = F.when(inside & F.col("before").isNotNull(), step * (F.col("tp") - F.col("t")) + half * step * step).otherwise(0.0)
     got = s.groupBy("series", "hz", "tp0", "t0").agg(F.sum(area).alias("steps"), F.coalesce(F.max(F.when(inside, F.col("t"))), F.col("t0")).alias("tu"))
-    head = (2 * F.lit(delta0) + F.col("tp0")) * F.col("tp0") - F.col("tp0") * F.col("tp0") + (F.col("hz") - F.col("tu")) * (F.col("hz") - F.col("tu"))
+    got = named.join(got, "series", "left")
+    d0 = F.coalesce("d0", F.lit(float(delta0)))
+    head = (2 * d0 + F.col("tp0")) * F.col("tp0") - F.col("tp0") * F.col("tp0") + (F.col("hz") - F.col("tu")) * (F.col("hz") - F.col("tu"))
     after = head / (2 * F.col("hz")) + F.col("steps") / F.col("hz")
-    value = F.when(F.col("hz") <= F.col("tp0"), (2 * F.lit(delta0) + F.col("hz")) * F.col("hz") / 2).otherwise(after)
+    value = F.when(F.col("hz") <= F.col("tp0"), (2 * d0 + F.col("hz")) * F.col("hz") / 2).otherwise(after)
     return got.select("series", (F.round(value, digits) if digits is not None else value).alias("aoi"))
 
 

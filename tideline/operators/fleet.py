@@ -15,10 +15,6 @@ def group_of(robot_id: Column, size: int = GROUP) -> Column:
     return F.floor((robot_id - 1) / size).cast("int")
 
 
-def assign_robots(rows: DataFrame, by: str, n: int = FLEET) -> DataFrame:
-    return rows.withColumn("robot_id", (F.pmod(F.col(by), F.lit(n)) + 1).cast("int"))
-
-
 def hetero(rows: DataFrame, subscriptions: DataFrame, size: int = GROUP) -> DataFrame:
     """Messages that a robot's group subscribes to; (group_id, topic) is a table of the fleet's configuration."""
     keyed = rows.withColumn("group_id", group_of(F.col("robot_id"), size))

@@ -16,17 +16,19 @@ def first_sizes(rows: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """Per connection: messages, bytes, first time, and the payloads in order as one.
+    """Per connection: messages, bytes, first time, and the payloads (text or bytes) in order as one.
 
     The payload of a reply is one value by contract, so this is for answers to
     requests; larger results stay rows.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("t_us", "seq", "data"))), lambda m: m["data"])
+    empty = F.lit("").cast(dict(rows.dtypes)["data"])
+    joined = F.concat_ws("", ordered) if dict(rows.dtypes)["data"] == "string" else F.aggregate(ordered, empty, lambda a, x: F.concat(a, F.coalesce(x, empty)))
     return rows.groupBy("conn_id").agg(
         F.count("*").alias("n"),
         F.sum(F.octet_length("data")).alias("bytes"),
         F.min(F.struct("t_us", "seq")).alias("first"),
-        F.concat_ws("", ordered).alias("payload"),
+        joined.alias("payload"),
     )
 
 

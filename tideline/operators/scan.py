@@ -42,7 +42,7 @@ def latest_window(c: Container, length: float, end_slack: float = 0, clamp: bool
 
 
 def latest(c: Container, topics: str | list[str] | None, length: float, end_slack: float = 0, clamp: bool = True) -> DataFrame:
-    return between(of_topics(c.rows, topics), *latest_window(c, length, end_slack, clamp))
+    return of_topics(c.between(*latest_window(c, length, end_slack, clamp)), topics)
 
 
 def ranged_window(c: Container, a: float, b: float, floor_origin: bool = True) -> tuple[int | None, int | None]:
@@ -55,7 +55,7 @@ def ranged_window(c: Container, a: float, b: float, floor_origin: bool = True) -
 
 
 def ranged(c: Container, topics: str | list[str] | None, a: float, b: float, floor_origin: bool = True) -> DataFrame:
-    return between(of_topics(c.rows, topics), *ranged_window(c, a, b, floor_origin))
+    return of_topics(c.between(*ranged_window(c, a, b, floor_origin)), topics)
 
 
 def first(c: Container, topics: str | list[str] | None, length: float) -> DataFrame:
@@ -73,7 +73,10 @@ class Splits:
     def __init__(self, c: Container, duration: float = 10):
         self.c, self.duration_us = c, round(duration * c.tick)
         self.origin = c.bounds()[0] or 0
-        self.rows = c.rows if "part" in c.rows.columns else with_parts(c.rows, self.origin, self.duration_us)
+        self.rows = self._parts(c.rows)
+
+    def _parts(self, rows: DataFrame) -> DataFrame:
+        return rows if "part" in rows.columns else with_parts(rows, self.origin, self.duration_us)
 
     def part_of(self, t_us: int) -> int:
         return (t_us - self.origin) // self.duration_us
@@ -95,14 +98,14 @@ class Splits:
             begin = last
         else:
             begin = self.starts().where(F.col("start") < lo).agg(F.max("part")).first()[0] or 0
-        return between(of_topics(self.rows.where(F.col("part").between(begin, last)), topics), lo, hi)
+        return of_topics(self._parts(self.c.between(lo, hi)).where(F.col("part").between(begin, last)), topics)
 
     def ranged(self, topics: str | list[str] | None, a: float, b: float) -> DataFrame:
         """Offset window; the splits it can touch follow from its bounds, so the rest is never opened."""
         lo, hi = ranged_window(self.c, a, b, floor_origin=False)
         if lo is None:
             return between(self.rows, None, None)
-        return between(of_topics(self.rows.where(F.col("part").between(self.part_of(lo), self.part_of(hi))), topics), lo, hi)
+        return of_topics(self._parts(self.c.between(lo, hi)).where(F.col("part").between(self.part_of(lo), self.part_of(hi))), topics)
 
     def reverse_walk(self, topics: str | list[str] | None, length: float, name: str = "pos") -> DataFrame:
         """Trailing window with the newest split first and time ascending inside a split."""

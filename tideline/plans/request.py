@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.scan import latest, ranged
@@ -27,16 +30,21 @@ class Request:
     b: float | None = None
 
 
+#: What separates tokens, and what a number is, for lines and tables of lines alike.
+BLANKS = " \t\n\x0b\f\r"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _number(token: str) -> float:
-    try:
-        return float(token)
-    except ValueError:
-        raise RequestError(f"not a number: {token!r}") from None
+    value = float(token) if re.fullmatch(NUMBER[1:-1], token) else math.nan
+    if not math.isfinite(value):
+        raise RequestError(f"not a number: {token!r}")
+    return value
 
 
 def parse_request(line: str) -> Request:
     """One line as a request; RequestError says what is wrong with it."""
-    tokens = line.split()
+    tokens = [t for t in re.split(f"[{BLANKS}]+", line) if t]
     if not tokens:
         raise RequestError("empty request")
     cmd, rest = tokens[0], tokens[1:]
@@ -69,9 +77,14 @@ def resolve(aliases: dict[str, str], names: list[str]) -> list[str]:
 
 def parse_requests(lines: DataFrame, column: str = "line") -> DataFrame:
     """The same grammar over a table of lines: cmd, abbrs, a, b and whether the line is valid."""
-    tok = F.split(F.trim(F.col(column)), r"\s+")
+    tok = F.split(F.btrim(F.col(column), F.lit(BLANKS)), f"[{BLANKS}]+")
     n = F.size("tok")
-    number = lambda k: F.element_at("tok", k).try_cast("double")
+
+    def number(k: int) -> Column:
+        token = F.element_at("tok", k)
+        value = F.when(token.rlike(NUMBER), token.try_cast("double"))
+        return F.when(F.abs(value) < F.lit(math.inf), value)
+
     cmd = F.element_at("tok", 1)
     out = lines.withColumn("tok", tok).withColumn("cmd", cmd)
     two = F.col("cmd") == "qt"
@@ -102,36 +115,63 @@ def with_topics(requests: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 class Session:
-    """Answers request lines over one bound container."""
+    """Answers request lines over one bound container.
 
-    def __init__(self, spark: SparkSession, aliases: dict[str, str], container: Container | None = None, root: str = "", dbm: float | None = None):
-        self.spark, self.aliases, self.container, self.root, self.dbm, self.open = spark, aliases, container, root, dbm, True
+    A container may grow: each request resolves its files and bounds anew. How long
+    each line took to be planned is kept in ``took``; ``kill`` writes it to ``log``,
+    if that is given.
+    """
+
+    def __init__(self, spark: SparkSession, aliases: dict[str, str], container: Container | None = None, root: str = "", dbm: float | None = None, log: str | None = None):
+        self.spark, self.aliases, self.container, self.root, self.dbm, self.log, self.open = spark, aliases, container, root, dbm, log, True
+        self.path: str | None = None
+        self.took: list[tuple[str, float]] = []
 
     def run(self, line: str) -> DataFrame | None:
         """The rows a line asks for; None for commands that return none, and before a container is bound."""
-        r = parse_request(line)
+        began = time.perf_counter()
+        try:
+            return self._run(parse_request(line))
+        finally:
+            self.took.append((line, time.perf_counter() - began))
+            if not self.open and self.log:
+                self.spark.createDataFrame(self.took, "line string, elapsed double").coalesce(1).write.mode("overwrite").json(self.log)
+
+    def _run(self, r: Request) -> DataFrame | None:
         if r.cmd == "kill":
             self.open = False
             return None
+        tick = self.container.tick if self.container else 1_000_000
         if r.cmd == "BAG":
-            self.container = open_container(self.spark, f"{self.root}/{r.abbrs[0]}", self.container.tick if self.container else 1_000_000)
+            self.path = f"{self.root}/{r.abbrs[0]}"
+            self.container = open_container(self.spark, self.path, tick)
             return None
         if self.container is None:
             return None
         topics = resolve(self.aliases, r.abbrs)
+        if self.path:
+            self.container = open_container(self.spark, self.path, tick) or self.container
+        self.container.bounds(refresh=True)
         if r.cmd == "q":
             return latest(self.container, topics, r.a)
         if r.cmd == "qt":
             return ranged(self.container, topics, r.a, r.b)
         return adaptive(self.container, topics, dbm=self.dbm)
 
-    def script(self, lines: list[str]) -> DataFrame | None:
-        """All lines up to ``kill``, as one result with the number of each line."""
-        parts = []
+    def script(self, lines: list[str], pace: float = 0.0, limit: float | None = None) -> DataFrame | None:
+        """All lines up to ``kill`` (the first may bind a container), as one result with the number of each line.
+
+        Lines start at least ``pace`` seconds apart; after ``limit`` seconds no further one starts.
+        """
+        parts, began = [], time.monotonic()
         for k, line in enumerate(lines):
+            if limit is not None and time.monotonic() - began > limit:
+                break
+            started = time.monotonic()
             got = self.run(line)
             if not self.open:
                 break
             if got is not None:
                 parts.append(got.withColumn("req_id", F.lit(k)))
+            time.sleep(max(0.0, pace - (time.monotonic() - started)) if k + 1 < len(lines) else 0.0)
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else None

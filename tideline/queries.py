@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.link import SIGNAL_PATTERN, byte_cap, parse_dbm
 from tideline.functions.names import decoded_header
-from tideline.functions.time import HOUR
+from tideline.functions.time import HOUR, float_seconds, nanos_part, seconds_part
 from tideline.operators import fleet, respond, scan, windows
 from tideline.operators.aoi import aoi_avg, aoi_samples
-from tideline.plans.request import parse_requests, unknown_aliases, with_topics
-from tideline.sources.container import Container, convert, open_container, split_files
-from tideline.sources.messages import connections, event_messages, order_messages
+from tideline.plans.request import Session, parse_requests, unknown_aliases, with_topics
+from tideline.sources.container import Container, convert, open_container, read_splits, split_files
+from tideline.sources import files
+from tideline.sources.messages import connections, event_messages, event_table, order_table
 from tideline.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,11 +48,13 @@ def query(sql: str | None = None):
 
 
 def events(spark: SparkSession, sf_dir: str) -> Container:
-    return Container(event_messages(spark, sf_dir), HOUR)
+    table = event_table(spark, sf_dir)
+    return Container(table.rows(), HOUR, table.within)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Container:
-    return Container(order_messages(spark, sf_dir), 24 * HOUR)
+    table = order_table(spark, sf_dir)
+    return Container(table.rows(), 24 * HOUR, table.within)
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def multi_topic_scan(spark, sf_dir):
 def absolute_range(spark, sf_dir):
     c = events(spark, sf_dir)
     lo, _ = c.bounds()
-    return _ids(scan.between(c.rows, lo + 100 * HOUR, lo + 103 * HOUR) if lo is not None else scan.between(c.rows, None, None))
+    return _ids(c.between(None if lo is None else lo + 100 * HOUR, None if lo is None else lo + 103 * HOUR))
 
 
 @query(M + "SELECT seq, topic, json_extract_string(data, '$.page') AS page FROM m, b, k WHERE topic = 'view' AND t_us BETWEEN hi - 24 * h AND hi")
@@ -216,9 +220,9 @@ def request_parse(spark, sf_dir):
     return parse_requests(_requests(spark)).select("req_id", "cmd", "a", "b", F.size("abbrs").alias("n_abbrs"), "valid")
 
 
-@query(M + "SELECT CAST(r AS BIGINT) AS req_id, a AS abbr, t AS topic, count(seq) AS n FROM (VALUES (0, 'clk', 'click'), (1, 'clk', 'click'), (1, 'vw', 'view'), (2, 'buy', 'purchase')) x(r, a, t) LEFT JOIN m ON m.topic = t GROUP BY ALL")
+@query(M + "SELECT CAST(r AS BIGINT) AS req_id, a AS abbr, t AS topic, count(seq) AS n FROM (VALUES (0, 'clk', 'click'), (1, 'clk', 'click'), (1, 'vw', 'view'), (2, 'buy', 'purchase'), (6, 'clk', 'click')) x(r, a, t) LEFT JOIN m ON m.topic = t GROUP BY ALL")
 def alias_join(spark, sf_dir):
-    named = with_topics(parse_requests(_requests(spark)).where("valid and cmd in ('q', 'qa', 'qt') and req_id < 3"), _aliases(spark))
+    named = with_topics(parse_requests(_requests(spark)).where("valid and cmd in ('q', 'qa', 'qt')"), _aliases(spark))
     counts = respond.catalog(events(spark, sf_dir).rows).select("topic", "n")
     return named.join(counts, "topic", "left").select("req_id", "abbr", "topic", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -410,11 +414,11 @@ def fleet_latest(spark, sf_dir):
     return rows.join(ends, "robot_id").where(F.col("t_us") >= F.col("own") - 24 * HOUR).groupBy("robot_id").agg(F.count("*").alias("n"))
 
 
-@query(M + "SELECT robot_id, topic, count(*) AS n FROM m WHERE robot_id <= 3 GROUP BY 1, 2")
+@query(M + "SELECT robot_id, topic, count(*) AS n FROM m GROUP BY 1, 2")
 def fleet_fanout(spark, sf_dir):
-    """The same query on the stores of three robots, side by side."""
+    """The same query on the stores of all robots, side by side."""
     rows = events(spark, sf_dir).rows
-    stores = {i: rows.where(F.col("robot_id") == i).drop("robot_id") for i in (1, 2, 3)}
+    stores = {i: rows.where(F.col("robot_id") == i).drop("robot_id") for i in range(1, fleet.FLEET + 1)}
     return fleet.fleet_query(stores, lambda one: one.groupBy("topic").agg(F.count("*").alias("n"))).select("robot_id", "topic", "n")
 
 
@@ -503,3 +507,135 @@ def ring_stream(spark, sf_dir):
     finally:
         spark.conf.set(key, before)
     return spark.table(name)
+
+
+# Times, files, groups and sessions
+
+
+@query(M + "SELECT seq, t_us // 1000000 AS secs, t_us % 1000000 * 1000 AS nsecs, t_us / 1000000.0::DOUBLE AS stamp FROM m")
+def stamp_parts(spark, sf_dir):
+    t = F.col("t_us")
+    return events(spark, sf_dir).rows.select("seq", seconds_part(t).alias("secs"), nanos_part(t).alias("nsecs"), float_seconds(t).alias("stamp"))
+
+
+@query(M + "SELECT DISTINCT substr(topic, 1, 2) AS abbr, topic FROM m")
+def alias_file(spark, sf_dir):
+    """Aliases written as one JSON object and read back."""
+    pairs = events(spark, sf_dir).rows.select(F.substring("topic", 1, 2).alias("abbr"), "topic").distinct()
+    path = _scratch(spark)
+    pairs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("abbr", "topic")))).alias("value")).coalesce(1).write.text(path)
+    return files.load_aliases(spark, path)
+
+
+@query(M + "SELECT DISTINCT 'q ' || topic || ' 1' AS line FROM m UNION ALL SELECT 'kill'")
+def request_file(spark, sf_dir):
+    path = _scratch(spark)
+    lines = events(spark, sf_dir).rows.select(F.concat(F.lit("q "), F.col("topic"), F.lit(" 1")).alias("line")).distinct()
+    lines.agg(F.concat_ws("\n", F.collect_list("line"), F.lit("\n"), F.lit("kill")).alias("value")).coalesce(1).write.text(path)
+    return files.read_requests(spark, path).select("line")
+
+
+@query(M + "SELECT CAST(row_number() OVER (ORDER BY topic) - 1 AS INT) AS tick, -CAST(count(*) AS DOUBLE) AS dbm FROM m GROUP BY topic")
+def signal_file(spark, sf_dir):
+    """Levels written as one JSON object and replayed in its order."""
+    path = _scratch(spark)
+    levels = events(spark, sf_dir).rows.groupBy("topic").agg((-F.count("*")).cast("double").alias("v"))
+    levels.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", "v"))))).alias("value")).coalesce(1).write.text(path)
+    return files.signal_replay(spark, path).select("tick", "dbm")
+
+
+@query(M + AOI.format(hz="max_by(tp, i)", half="1", d="653.499411e0"))
+def aoi_files(spark, sf_dir):
+    """Samples written as files with their delta, read back and averaged by each file's own."""
+    path = _scratch(spark)
+    files.write_aoi(_samples(spark, sf_dir), path, delta=653.499411)
+    return aoi_avg(files.read_aoi(spark, path), digits=4)
+
+
+@query(M + "SELECT CAST((t_us - lo) // (48 * h) AS INT) AS part, count(*) AS n FROM m, b, k GROUP BY 1")
+def split_directory(spark, sf_dir):
+    """Foreign split files, one a split, with one still being written; numbers come from their names."""
+    path, rows = _scratch(spark), events(spark, sf_dir)
+    numbered = scan.Splits(rows, 48).rows
+    for r in numbered.select("part").distinct().collect():  # one file a split is what this layout is
+        one = f"{path}-{r.part}"
+        numbered.where(F.col("part") == r.part).select("seq", "topic", "t_us").coalesce(1).write.parquet(one)
+        _rename_part(spark, one, f"{path}/bag_{r.part}.parquet")
+    _touch(spark, f"{path}/bag_99.parquet.active")
+    return read_splits(spark, path).groupBy("part").agg(F.count("*").alias("n"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _rename_part(spark: SparkSession, folder: str, to: str) -> None:
+    """Give the one data file of a folder a name of its own."""
+    source, fs = _fs(spark, folder)
+    target, _ = _fs(spark, to)
+    fs.mkdirs(target.getParent())
+    found = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    fs.rename(found, target)
+    fs.delete(source, True)
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.create(p).close()
+
+
+TOPIC_GROUPS = [["click"], ["view"], ["purchase"], ["click", "view"], ["click", "signup", "error"]]
+GROUP_ROWS = ", ".join(f"({g}, '{t}')" for g, ts in enumerate(TOPIC_GROUPS) for t in ts)
+
+
+@query(M + f"SELECT i AS req_id, count(t_us) AS n FROM ({RANDOM}) r CROSS JOIN b CROSS JOIN k LEFT JOIN (m JOIN (VALUES {GROUP_ROWS}) g(g, topic) USING (topic)) ON g = i % 5 AND t_us BETWEEN lo + s * h AND lo + (s + d) * h GROUP BY i")
+def random_groups(spark, sf_dir):
+    """Historical windows over five groups of topics in turn."""
+    return _grouped_windows(spark, sf_dir, trailing=False)
+
+
+@query(M + f"SELECT i AS req_id, count(t_us) AS n FROM (SELECT i, (i * 7919 + 13) % 13 AS d FROM range(50) t(i)) r CROSS JOIN b CROSS JOIN k LEFT JOIN (m JOIN (VALUES {GROUP_ROWS}) g(g, topic) USING (topic)) ON g = i % 5 AND t_us BETWEEN hi - d * h AND hi GROUP BY i")
+def trailing_groups(spark, sf_dir):
+    """Trailing windows over five groups of topics in turn."""
+    return _grouped_windows(spark, sf_dir, trailing=True)
+
+
+def _grouped_windows(spark: SparkSession, sf_dir: str, trailing: bool) -> DataFrame:
+    c = events(spark, sf_dir)
+    lo, hi = (x or 0 for x in c.bounds())
+    i = F.col("id")
+    if trailing:
+        begin, end = F.lit(hi) - (i * 7919 + 13) % 13 * HOUR, F.lit(hi)
+    else:
+        begin = F.lit(lo) + (i * 104729 + 7) % 101 * HOUR
+        end = begin + (1 + (i * 7919 + 13) % 8) * HOUR
+    names = F.array(*[F.array(*map(F.lit, ts)) for ts in TOPIC_GROUPS])
+    r = spark.range(50).select(i.alias("req_id"), F.explode(F.get(names, (i % 5).cast("int"))).alias("topic"), begin.alias("lo"), end.alias("hi"))
+    counts = windows.batch(c.rows, r, 4 * HOUR).groupBy("req_id").agg(F.count("*").alias("n"))
+    return r.select("req_id").distinct().join(counts, "req_id", "left").select("req_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(M + "SELECT CAST(t AS INT) AS threads, topic, count(*) AS n FROM m, b, k, (VALUES (1), (2), (4), (8), (16)) x(t) WHERE t_us BETWEEN hi - 24 * h AND hi GROUP BY ALL")
+def concurrent_readers(spark, sf_dir):
+    """The same question asked by 1 to 16 readers at once, each by its own thread and job; all of a round must agree."""
+    c = events(spark, sf_dir)
+    c.bounds()
+    ask = lambda _: sorted(tuple(r) for r in scan.latest(c, None, 24).groupBy("topic").agg(F.count("*").alias("n")).collect())
+    rows = []
+    for threads in (1, 2, 4, 8, 16):
+        with ThreadPoolExecutor(threads) as pool:
+            answers = list(pool.map(ask, range(threads)))
+        if any(a != answers[0] for a in answers):
+            raise RuntimeError("readers disagree")
+        rows += [(threads, *a) for a in answers[0]]
+    return spark.createDataFrame(rows, "threads int, topic string, n long")
+
+
+@query(M + "SELECT CAST(x.r AS INT) AS req_id, seq FROM m, b, k, (VALUES (1, 'click', 12), (2, 'view', 3)) x(r, t, d) WHERE topic = t AND t_us BETWEEN hi - d * h AND hi")
+def session_script(spark, sf_dir):
+    """A script whose first line binds a stored container, ended by kill."""
+    path = _scratch(spark)
+    convert(event_messages(spark, sf_dir), f"{path}/one.bag")
+    s = Session(spark, dict(ALIASES), Container(events(spark, sf_dir).rows, HOUR), path, log=f"{path}/took")
+    return s.script(["BAG one.bag", "q clk 12", "q vw 3", "kill", "q clk 1"]).select("req_id", "seq")

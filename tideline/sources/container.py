@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,14 @@ from tideline.functions.time import SECOND
 
 
 class Container:
-    """A bound set of messages. ``tick`` is how many microseconds one second of a request stands for."""
+    """A bound set of messages. ``tick`` is how many microseconds one second of a request stands for.
+
+    ``within`` gives the rows of a closed interval where the stored time is of
+    another type than ``t_us``, so that windows reach the files all the same.
+    """
 
-    def __init__(self, rows: DataFrame, tick: int = SECOND):
-        self.rows, self.tick = rows, tick
+    def __init__(self, rows: DataFrame, tick: int = SECOND, within: Callable[[int, int], DataFrame] | None = None):
+        self.rows, self.tick, self.within = rows, tick, within
         self._bounds: tuple[int | None, int | None] | None = None
 
     def bounds(self, refresh: bool = False) -> tuple[int | None, int | None]:
@@ -24,6 +30,13 @@ class Container:
             self._bounds = (r[0], r[1])
         return self._bounds
 
+    def between(self, lo: int | None, hi: int | None) -> DataFrame:
+        """Messages in a closed time interval. An unknown bound (an empty container) selects nothing."""
+        if lo is None or hi is None:
+            return self.rows.where(F.lit(False))
+        rows = self.rows if self.within is None else self.within(int(lo), int(hi))
+        return rows.where(F.col("t_us").between(F.lit(int(lo)), F.lit(int(hi))))
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a container, in whatever store the path names."""

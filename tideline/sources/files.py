@@ -23,17 +23,20 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aoi(spark: SparkSession, path: str) -> DataFrame:
-    """(series, delta, i, t, tp) of ``*.aoi`` files; a file that can't be parsed gives one row of nulls."""
-    whole = spark.read.option("pathGlobFilter", "*.aoi").text(path, wholetext=True)
-    one = whole.select(F.col("_metadata.file_name").alias("series"), F.from_json("value", AOI_SCHEMA, {"mode": "PERMISSIVE"}).alias("v"))
+    """(series, delta, i, t, tp) of ``*.aoi`` files, or of what :func:`write_aoi` left; a file that can't be parsed gives one row of nulls."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("at"))
+    written = F.url_decode(F.regexp_extract("at", "/series=([^/]+)/[^/]*$", 1))
+    named = whole.withColumn("series", F.when(F.col("file").endswith(".aoi"), F.col("file")).when(written != "", written)).where("series is not null")
+    one = named.select("series", F.from_json("value", AOI_SCHEMA, {"mode": "PERMISSIVE"}).alias("v"))
     flat = one.select("series", F.col("v.delta").alias("delta"), F.posexplode_outer("v.time_sequence").alias("i", "p"))
     return flat.select("series", "delta", "i", F.get("p", F.lit(0)).alias("t"), F.get("p", F.lit(1)).alias("tp"))
 
 
 def write_aoi(samples: DataFrame, path: str, delta: float = 0.0) -> None:
-    """One JSON object per series of (series, i, t, tp); nothing is written for an empty one."""
+    """One JSON object per series of (series, i, t, tp) in a folder of its name; nothing is written for an empty one."""
+    own = F.coalesce(F.max("delta"), F.lit(float(delta))) if "delta" in samples.columns else F.lit(float(delta))
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("i", "t", "tp"))), lambda s: F.array(s["t"], s["tp"]))
-    samples.groupBy("series").agg(F.lit(float(delta)).alias("delta"), pairs.alias("time_sequence")).write.partitionBy("series").json(path)
+    samples.where("t is not null").groupBy("series").agg(own.alias("delta"), pairs.alias("time_sequence")).write.partitionBy("series").json(path)
 
 
 def signal_replay(spark: SparkSession, path: str) -> DataFrame:
@@ -49,4 +52,5 @@ def signal_text(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def write_signal(series: DataFrame, path: str) -> None:
-    series.write.json(path)
+    """(tick, dbm) levels as one JSON object a line."""
+    series.select("tick", "dbm").write.json(path)

@@ -44,7 +44,7 @@ def test_defined_values(spark, edge):
     copy = next(k for k in range(100, 140) if join[k].component_id != k or join[200].component_id == k)
     assert join[200].component_id == join[201].component_id == join[copy].component_id
     lm = of("op8_lm_score")
-    assert lm[0].n_tokens == 1 and lm[0].score == 0 and lm[9].n_tokens == 20_001
+    assert lm[0].n_tokens == 1 and lm[0].score < 0 and lm[9].n_tokens == 20_001  # the end is predicted
 
 
 def test_packing_edges(spark, edge):

@@ -462,13 +462,54 @@ def test_pipeline_is_its_stages_in_brute_force(spark, library):
     check_packing(corpus_pipeline.run(spark, SMALL).collect(), ids, 1024)
 
 
-def test_lm_classes_and_sample(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 12)
+def test_lm_classes_and_windows(spark, monkeypatch):
+    """Classes are of the whole fold; windows come from every document at one rate, and groups' weights are averaged."""
     rng = np.random.default_rng(4)
-    docs = [rng.integers(0, 300, 400).astype("<u2") for _ in range(10)]
-    rows = [(k, False, docs[0].tobytes()) for k in range(200)] + [(200 + k, False, d.tobytes()) for k, d in enumerate(docs[1:])]
-    rows += [(300, True, np.full(50, 7, "<u2").tobytes())]
+    docs = [rng.integers(0, 300, n).astype("<u2") for n in (400, 3, 90_000, 1_000)]
+    rows = [(k, False, d.tobytes()) for k, d in enumerate(docs)] + [(300, True, np.full(50, 7, "<u2").tobytes())]
     df = spark.createDataFrame(rows, "rid long, held_out boolean, ids binary").repartition(5)
-    assert sorted(d.astype("<u2").tobytes() for d in lm_score.sampled_ids(df)) == sorted(d.tobytes() for d in docs)
-    all_ids = [np.frombuffer(b, "<u2").astype(np.int64) for _, out, b in rows if not out]
-    assert (lm_score.corpus_classes(df, 320) == attention.sample_classes(all_ids, 320)).all()
+    cls = lm_score.corpus_classes(df, 320)
+    assert (cls == attention.sample_classes([d.astype(np.int64) for d in docs], 320)).all()
+    whole = lm_score.drawn_windows(df, 320, 1.0, 3).collect()
+    n = sum(-(-len(d) // attention.HALF) for d in docs)
+    assert len(whole) == n and {r.g for r in whole} == {0, 1, 2}
+    targets = np.concatenate([np.frombuffer(bytes(r.w), "<i4")[2 * attention.HALF :] for r in whole])
+    assert np.array_equal(np.bincount(targets[targets >= 0]), np.bincount(np.concatenate(docs)))
+    assert abs(lm_score.drawn_windows(df, 320, 0.25, 3).count() - n / 4) < 0.05 * n
+    monkeypatch.setattr(lm_score, "GROUP", 2_000)
+    monkeypatch.setattr(lm_score, "DRAWN", 1.0)
+    keys = np.arange(320)
+    _, class_sum = attention.shares(cls, keys, np.ones(320))
+    w = lm_score.fitted_weights(df, cls, class_sum)
+    assert all(np.isfinite(x).all() for x in w.values())
+    assert all(np.array_equal(attention.from_rows(attention.as_rows(w), w)[k], w[k]) for k in w)
+
+
+def naive_log_probs(model, ids, pad):
+    """The model by its definition, token by token."""
+    out = []
+    before = [pad, *ids[:-1]]
+    for t, goal in enumerate(ids):
+        begin = max(0, t // attention.HALF - 1) * attention.HALF
+        seen = before[begin : t + 1]
+        x = model.emb[seen[-1]]
+        q = x @ model.wq / math.sqrt(attention.DIM)
+        s = np.array([q @ (model.emb[y] @ model.wk) + model.distance[len(seen) - 1 - j] for j, y in enumerate(seen)])
+        a = np.exp(s - s.max())
+        h = x + (a / a.sum()) @ np.array([model.emb[y] @ model.wv for y in seen])
+        z = h @ model.out + model.out_bias
+        last = attention.HEAD + attention.TAIL if t == 0 else model.cls[seen[-1]]
+        out.append(z[model.cls[goal]] - np.log(np.exp(z).sum()) + model.within[last, goal])
+    return out
+
+
+def test_windows_are_the_model_by_definition():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 200, n) for n in (1, 16, 17, 75)]
+    cls = attention.sample_classes(docs, 200)
+    ids, first = attention.sample_arrays(docs)
+    model = attention.train(docs, cls, *np.unique(attention.pair_keys(ids, first, cls), return_counts=True))
+    context, target, doc = attention.blocks(ids, first, 200)
+    lp = model.log_probs(context, target)
+    for k, d in enumerate(docs):
+        assert lp[doc == k].ravel()[: len(d)] == pytest.approx(naive_log_probs(model, d.tolist(), 200), abs=2e-4)

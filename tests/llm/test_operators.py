@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tideline.llm import attention, decontaminate, langid, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts
+from tideline.llm import arrowtext, attention, decontaminate, langid, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
 from tideline.llm.arrowtext import ALNUM_WORD, SPACE_WORD, Chunk
 from tideline.llm.bpe import Encoder
 from tideline.llm.common import table
@@ -513,3 +513,36 @@ def test_windows_are_the_model_by_definition():
     lp = model.log_probs(context, target)
     for k, d in enumerate(docs):
         assert lp[doc == k].ravel()[: len(d)] == pytest.approx(naive_log_probs(model, d.tolist(), 200), abs=2e-4)
+
+
+def test_long_chunks_hash_as_short_ones():
+    words = ["ab", "cde", "é漢", "x" * 40]
+    long = Chunk(pa.array([" ".join(words * 60_000)])).words(SPACE_WORD)
+    assert len(long.chunk.data) > 2 * arrowtext.BLOCK_BYTES
+    short = Chunk(pa.array([" ".join(words)])).words(SPACE_WORD)
+    assert (long.hash.reshape(-1, 4) == short.hash).all()
+    line = Chunk(pa.array(["a" * 3_000_000 + "\nb", "a" * 3_000_000]))
+    begin = line.start[:2]
+    got = line.span_hash(begin, begin + 3_000_000)
+    assert got[0] == got[1] != line.span_hash(begin[:1], begin[:1] + 2_999_999)[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc é", min_size=1, max_size=15), min_size=1, max_size=4), st.lists(st.text("abc é", max_size=40), min_size=1, max_size=4))
+def test_short_items_are_found_exactly(items, docs):
+    index = decontaminate.build_index(list(enumerate(items)))
+    folded = [decontaminate.fold(t) for t in items]
+    want = {(d, i): x[0] for d, t in enumerate(docs) for i, item in enumerate(folded) if item.strip(" ") and len(item.encode()) < decontaminate.LEAST and t and (x := decontaminate.closest(item, decontaminate.fold(t)))[0] <= int(0.2 * len(item))}
+    got = {(d, index.ids[i]): n for d, i, n, *_ in decontaminate.matches(pa.array(docs), index) if len(index.texts[i].encode()) < decontaminate.LEAST}
+    assert got == want
+
+
+def test_one_toxic_label_and_a_repeated_id(spark):
+    """One positive is enough for a defined model; an id that very many rows have is one row of the sample."""
+    docs = [(k, f"plain words number {k} here") for k in range(60)] + [(100, "vile trash vile")] * 5_000
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, 0) for k in range(60)] + [(100, 1), (101, 0)], "doc_id long, toxic int")
+    for kept in (frame, frame.where("doc_id < 100 or rand(1) < 0.001")):
+        model = toxicity.train(kept, labels, parts=1_000_003)
+        assert np.isfinite(model.bias) and np.isfinite(model.weight).all()
+        assert (model.scores(pa.array(["plain words", None, ""])) < 0.5).all()

@@ -4,6 +4,13 @@ STAGES are (name, function); each function takes (spark, docs, sf_dir), works on
 all that its predecessor kept, and returns the columns of ``documents`` (the last
 one: packed pieces). :func:`run` writes every stage to shared storage and reads it
 again as the next one's documents.
+
+Defined cases, for every stage: rows with a null text or a null id stay unless the
+stage's decision is about them (language ID rejects texts without a letter, null ones
+among them; near copies leave rows without an id alone and one of several rows with
+the same id). Very long texts are worked on whole. Repeated rows are judged one by one.
+Ties go as the operators say. Columns of any name come through unread. Empty tables
+give empty results of the same columns.
 """
 
 from __future__ import annotations

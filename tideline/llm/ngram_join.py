@@ -56,7 +56,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, map_chunks, mix
+from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, give_back, map_chunks, mix
 from tideline.llm.common import BROADCAST_ROWS, cleared, release, saved, small, table
 from tideline.llm.components import merged
 
@@ -286,6 +286,7 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         x, y = (np.frombuffer(b"".join(z.filter(here).to_pylist()), _U).reshape(len(i), -1) for z in (x, y))
                         keep[i] = np.bitwise_count(x ^ y).sum(axis=1) <= most_apart(na[i], nb[i], percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     of = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "sk", "sk_low")])
     both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -299,6 +300,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     left = saved(may_link(pairs, sets, percent).distinct())
     few = F.broadcast if left.count() <= BROADCAST_ROWS else lambda df: df
@@ -307,68 +309,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return of_a.join(of_b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int, percent: int) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): pairs of different components in one bucket that sketches can't rule out.
 
     ``members`` is (bid, cls, comp) of buckets with several components. For a class
     and a foreign component the ``most`` closest are returned; ``more`` marks pairs
     of which further ones were left for a later round.
+
+    A bucket is of one scheme, so its members are of that scheme's band or the next
+    one, and all have a sketch of the lowest band among them: only that one travels.
     """
-    size = members.groupBy("bid").agg(F.count("*").alias("rows"))
+    banded = members.join(sets.select("cls", "band"), "cls")
+    size = banded.groupBy("bid").agg(F.count("*").alias("rows"), F.min("band").alias("least"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = (
-        members.join(size, "bid")
+        banded.join(size, "bid")
+        .where("band <= least + 1")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "comp")
+        .select("bid", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cls", "comp", F.expr("band = least").alias("own"))
     )
     # a class is in as many buckets as its scheme has segments at most
     named = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("bid")), 1, NAMED).alias("named"))
-    about = sets.select("cls", "n", "band", "sk", "sk_low").join(named, "cls")
-    rows = dealt.join(about, "cls").withColumn("own", F.col("bid")).repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
-    words = {x.band: x.words for x in schemes}
+    about = sets.select("cls", F.col("n").cast("int").alias("n"), "sk", "sk_low").join(named, "cls")
+    rows = dealt.join(about, "cls").withColumn("sk", F.expr("if(own, sk, sk_low)")).where("sk is not null")
+    rows = rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "sk", "named").repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
 
-    def compare(cls, comp, n, band, mine, low, high, named, own_name, x, y) -> list[tuple[int, int, bool]]:
+    def compare(bid, x, y, mine, cls, comp, n, sketches, named) -> list[tuple[int, int, bool]]:
         out = []
-        earlier = [{b for b in names if b < own_name} for names in named]
-        # a bucket is of one scheme: that of the lowest band in it, or the one below if all are of its upper neighbour
-        for scheme in {b for b in band} | {b - 1 for b in band}:
-            use = [i for i in range(len(cls)) if band[i] == scheme or band[i] == scheme + 1 and high[i] is not None]
-            if len(use) < 2 or scheme not in words:
+        earlier = [{b for b in names if b < bid} for names in named]
+        for i in range(len(cls) - 1):
+            rest = np.arange(i + 1, len(cls))
+            rest = rest[comp[rest] != comp[i]]
+            if x != y:  # pairs within a block belong to that block's own task
+                rest = rest[mine[rest] != mine[i]]
+            small, large = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
+            rest = rest[100 * small >= percent * large]
+            if not len(rest):
                 continue
-            use = np.array(use)
-            own = np.stack([np.frombuffer(low[i] if band[i] == scheme else high[i], _U) for i in use])
-            nn, cc, mm, bb = n[use], comp[use], mine[use], band[use]
-            for i in range(len(use) - 1):
-                rest = np.arange(i + 1, len(use))
-                rest = rest[cc[rest] != cc[i]]
-                if x != y:  # pairs within a block belong to that block's own task
-                    rest = rest[mm[rest] != mm[i]]
-                rest = rest[(bb[rest] == scheme) | (bb[i] == scheme)]
-                small, large = np.minimum(nn[rest], nn[i]), np.maximum(nn[rest], nn[i])
-                rest = rest[100 * small >= percent * large]
-                if not len(rest):
-                    continue
-                apart = np.bitwise_count(own[rest] ^ own[i]).sum(axis=1)
-                passed = apart <= most_apart(nn[rest], nn[i], percent)
-                rest, apart = rest[passed], apart[passed]
-                # what shares an earlier bucket with this class is answered for there
-                first = np.array([earlier[use[i]].isdisjoint(earlier[use[j]]) for j in rest], bool)
-                rest, apart = rest[first], apart[first]
-                for c in np.unique(cc[rest]):
-                    of = np.flatnonzero(cc[rest] == c)
-                    near = of[np.argsort(apart[of], kind="stable")[:most]]
-                    for j in rest[near]:
-                        a, b = sorted((int(cls[use[i]]), int(cls[use[j]])))
-                        out.append((a, b, len(of) > most))
+            apart = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)
+            passed = apart <= most_apart(n[rest], n[i], percent)
+            rest, apart = rest[passed], apart[passed]
+            # what shares an earlier bucket with this class is answered for there
+            first = np.array([earlier[i].isdisjoint(earlier[j]) for j in rest], bool)
+            rest, apart = rest[first], apart[first]
+            for c in np.unique(comp[rest]):
+                of = np.flatnonzero(comp[rest] == c)
+                near = of[np.argsort(apart[of], kind="stable")[:most]]
+                for j in rest[near]:
+                    a, b = sorted((int(cls[i]), int(cls[j])))
+                    out.append((a, b, len(of) > most))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(t: pa.Table) -> pa.RecordBatch:
-            get = lambda c: t[c].to_numpy()
-            got = set(compare(get("cls"), get("comp"), get("n"), get("band"), get("mine"), t["sk"].to_pylist(), t["sk_low"].to_pylist(), t["named"].to_pylist(), t["own"][0].as_py(), t["x"][0].as_py(), t["y"][0].as_py()))
+            mine, cls, comp, n = (t[c].to_numpy() for c in ("mine", "cls", "comp", "n"))
+            sketches = np.frombuffer(b"".join(t["sk"].to_pylist()), _U).reshape(len(cls), -1)
+            got = set(compare(*(t[c][0].as_py() for c in ("bid", "x", "y")), mine, cls, comp, n.astype(np.int64), sketches, t["named"].to_pylist()))
             a, b, more = zip(*sorted(got), strict=True) if got else ((), (), ())
             return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
@@ -387,8 +386,9 @@ def across(members: DataFrame, sets: DataFrame, schemes: list[Scheme], most: int
                     last = key
         if held:
             yield answer(pa.Table.from_batches(held))
+        give_back()
 
-    return rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "band", "sk", "sk_low", "named", "own").mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def classes_of(known: DataFrame) -> DataFrame:
@@ -447,9 +447,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         labels = merged(labels, links)
 
     members, most_each, turn, drawn = buckets.where("size > 2").select("bid", "cls"), 8, 0, ANCHORS_PAY <= 1
+    unsettled = None  # after a full comparison, the components between which pairs were left
     while True:
         turn += 1
         tagged = members.select("bid", "cls").join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls")
+        if unsettled is not None:
+            tagged = tagged.join(small(unsettled), "comp", "left_semi")
         draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("anchor"), F.col("comp").alias("anchor_comp")))
         open_ = tagged.groupBy("bid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), draw.alias("draw")).where("c0 < c1")
         watch = Observation()
@@ -463,7 +466,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             apart = members.where("comp <> anchor_comp").groupBy("cls").agg(some.alias("some")).select("cls", F.explode("some.anchor").alias("anchor"))
             pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct(), met, rows=F.count(F.lit(1)))
         else:
-            pairs = saved(across(members.select("bid", "cls", "comp"), sets, schemes, most_each, percent))
+            pairs = saved(across(members.select("bid", "cls", "comp"), sets, most_each, percent))
         watch = Observation()
         links = saved(verified(pairs.select("a", "b"), sets, percent), watch, rows=F.count(F.lit(1)))
         cleared(docs.sparkSession)
@@ -473,7 +476,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             drawn = watch.get["rows"] >= ANCHORS_PAY * met.get["rows"]
         else:
             left = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-            if left.where("la <> lb").isEmpty():
+            watch = Observation()
+            unsettled = saved(left.where("la <> lb").select(F.explode(F.array("la", "lb")).alias("comp")).distinct(), watch, rows=F.count(F.lit(1)))
+            if not watch.get["rows"]:
                 break
             most_each *= 16
 

@@ -73,7 +73,7 @@ class Walk:
 
     moves: np.ndarray  # [step, byte]
     steps: np.ndarray  # sampled, ascending
-    partial: list[np.ndarray]  # after each sampled step, a bitmap of the keys that items have
+    partial: list[np.ndarray]  # after each sampled step, a bitmap (packed) of the keys that items have
     keys: np.ndarray  # sorted complete keys
     item: np.ndarray  # the item and offset that each key belongs to
     offset: np.ndarray
@@ -129,6 +129,12 @@ def _bucket(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
+def _known(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys may be in a packed bitmap, as places in ``key``."""
+    b = _bucket(key)
+    return np.flatnonzero(bitmap[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+
+
 def _walk(data: np.ndarray, at: np.ndarray, walk: Walk) -> np.ndarray:
     """Keys of the windows of items that start at ``at``; ``partial`` gets its bitmaps."""
     p = at.copy()
@@ -140,7 +146,7 @@ def _walk(data: np.ndarray, at: np.ndarray, walk: Walk) -> np.ndarray:
             key = mix(key * np.uint64(257) + c + np.uint64(1))
             seen = np.zeros(1 << 18, bool)
             seen[_bucket(key)] = True
-            walk.partial.append(seen)
+            walk.partial.append(np.packbits(seen, bitorder="little"))
         p += walk.moves[step][c]
     return key
 
@@ -170,7 +176,7 @@ def _search(data: np.ndarray, heads: Heads, walk: Walk) -> tuple[np.ndarray, np.
         c, c_q = data[p], data[q]
         if step == walk.steps[done]:
             key, key_q = (mix(k * np.uint64(257) + x + np.uint64(1)) for k, x in ((key, c), (key_q, c_q)))
-            keep, keep_q = (np.flatnonzero(walk.partial[done][_bucket(k)]) for k in (key, key_q))
+            keep, keep_q = (_known(walk.partial[done], k) for k in (key, key_q))
             at, p, key, c = at[keep], p[keep], key[keep], c[keep]
             near, q, key_q, c_q = near[keep_q], q[keep_q], key_q[keep_q], c_q[keep_q]
             done += 1

@@ -456,7 +456,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("anchor"), F.col("comp").alias("anchor_comp")))
         open_ = tagged.groupBy("bid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), draw.alias("draw")).where("c0 < c1")
         watch = Observation()
-        members = saved(tagged.join(open_.select("bid", "draw.*"), "bid"), watch, rows=F.count(F.lit(1)))
+        before, members = members, saved(tagged.join(open_.select("bid", "draw.*"), "bid"), watch, rows=F.count(F.lit(1)))
+        release(before)
+        cleared(docs.sparkSession)  # what follows writes the most
         if not watch.get["rows"]:
             break
         met = Observation()

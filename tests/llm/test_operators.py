@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tideline.llm import arrowtext, attention, decontaminate, langid, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
+from tideline.llm import arrowtext, attention, common, components, decontaminate, langid, lm_score, ngram_join, packing, quality_gbt, quality_rules, token_counts, toxicity
 from tideline.llm.arrowtext import ALNUM_WORD, SPACE_WORD, Chunk
 from tideline.llm.bpe import Encoder
 from tideline.llm.common import table
@@ -318,6 +318,47 @@ def test_one_signature_of_very_many_classes(spark):
     assert {d: c for d, c in got.items() if d != c} == {20_000 + i: i for i in range(3)}
 
 
+def test_few_edges_take_one_task(spark, monkeypatch):
+    """A long chain and a star are settled in two tables, not in rounds; over the cluster they come out the same."""
+    rng = np.random.default_rng(6)
+    chain = rng.permutation(40)
+    edges = [*zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True), *[(9_000, 5_000 + k) for k in range(50)], (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    own = components.saved
+    monkeypatch.setattr(components, "saved", lambda *x, **y: written.append(1) or own(*x, **y))
+    got = {r.node: r.label for r in components.connected(df, "a", "b", len(edges)).collect()}
+    assert got == {k: 0 for k in range(40)} | {k: 5_000 for k in [9_000, *range(5_000, 5_050)]}
+    assert len(written) == 2
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 0)
+    assert {r.node: r.label for r in components.connected(df, "a", "b", len(edges)).collect()} == got
+    assert components.connected(df.where("a < 0"), "a", "b", 0).count() == 0
+
+
+def test_join_without_broadcasts(spark, monkeypatch):
+    """Tables over every bound are shuffled, and the result is the same."""
+    for module in (common, components, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", -1)
+    test_join_near_the_threshold(spark, 3, 5, 80)
+
+
+def test_signatures_of_one_class_are_not_shuffled_again(spark):
+    """With the map of shared signatures, all of those are indexed again and next to none of the others."""
+    rng = random.Random(8)
+    docs = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(200)]
+    docs += [f"{t} more" for t in docs[:5]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    schemes = [ngram_join.allocate(k, a, b, 200) for k, (a, b) in enumerate(ngram_join.bands(100))]
+    rows = [tuple(r) for r in ngram_join.indexed(df, schemes, 4, {}).collect()]
+    times = collections.Counter(sig for sig, _ in set(rows))
+    shared = {sig for sig, n in times.items() if n > 1}
+    bits = ngram_join.marked(spark.createDataFrame([(x,) for x in shared], "sig long"), len(shared))
+    again = [tuple(r) for r in ngram_join.indexed(df, schemes, 4, {}, bits).collect()]
+    assert {r for r in rows if r[0] in shared} <= set(again)
+    assert len(set(again)) < len(set(r for r in rows if r[0] in shared)) + 0.05 * len(rows)
+
+
 # Statistics, rules, classifiers
 
 

@@ -153,3 +153,8 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame) -> DataFrame:
     """``df``, a stored table of a few numbers a row, marked for broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of a few numbers for each of ``rows`` rows, in few partitions if they are few: each file costs a start of ``chmod`` on a local disk."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if rows <= BROADCAST_ROWS else df

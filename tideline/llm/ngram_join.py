@@ -53,12 +53,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.arrowtext import SPACE_WORD, Chunk, combine, give_back, map_chunks, mix
-from tideline.llm.common import BROADCAST_ROWS, cleared, release, saved, small, table
-from tideline.llm.components import merged
+from tideline.llm.common import BROADCAST_ROWS, cleared, gathered, release, saved, small, table
+from tideline.llm.components import labelled, merged
 
 SHINGLE = 4
 #: 100 * intersection >= PERCENT * union.
@@ -73,6 +73,10 @@ BLOCK, ROW_COST = 1024, 4.0
 SKETCH_BITS = 2
 #: First buckets of a class that its rows name, so that two classes are compared to an end in the first they share.
 NAMED = 8
+#: Sets or sketches that are broadcast come to so many bytes at most.
+BROADCAST_BYTES = 16 << 20
+#: Bits of the map by which signatures of a single class are left out before the second shuffle.
+MOST_BITS = 1 << 27
 _U = np.uint64
 
 
@@ -228,8 +232,27 @@ def documents_to_classes(docs: DataFrame, size: int) -> DataFrame:
     return map_chunks(docs, run, "doc_id long, n_shingles long, cls long, chk long")
 
 
-def indexed(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int]) -> DataFrame:
-    """(sig, cls) of every class; a slice of a task emits a class once, however many copies it reads."""
+def bit_of(sigs: np.ndarray, bits: int) -> np.ndarray:
+    """Places of signatures in a map of ``bits`` (a power of two)."""
+    return sigs.view(np.int64) & (bits - 1)
+
+
+def marked(common: DataFrame, n: int) -> np.ndarray:
+    """A map of bits, set for all of ``n`` stored signatures and few others: what isn't set is none of them."""
+    bits = min(MOST_BITS, 1 << max(16, (64 * n).bit_length()))
+    at = F.col("sig").bitwiseAND(F.lit(bits - 1))
+    got = common.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return words
+
+
+def indexed(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int], wanted: np.ndarray | None = None) -> DataFrame:
+    """(sig, cls) of every class; a slice of a task emits a class once, however many copies it reads.
+
+    With a map of bits, only signatures that are set in it.
+    """
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sigs, classes, seen = [], [], set()
@@ -239,6 +262,9 @@ def indexed(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int,
                 seen.add(cls)
                 for scheme in own:
                     got = signatures(s, scheme)
+                    if shared is not None:
+                        at = bit_of(got, len(shared.value) << 6)
+                        got = got[(shared.value[at >> 6] >> (at & 63) & 1).astype(bool)]
                     sigs.append(got), classes.append(np.full(len(got), cls))
         if not sigs:
             return None
@@ -266,8 +292,13 @@ def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme], size:
     return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary")
 
 
+def light(df: DataFrame, weight: Column) -> DataFrame:
+    """``df`` marked for broadcast if its rows, of ``weight`` bytes each, are counted to come to ``BROADCAST_BYTES`` at most."""
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
+
+
 def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sizes and sketches allow a link."""
+    """The stored (a, b) whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +320,9 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         give_back()
 
     of = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "sk", "sk_low")])
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    of_b = light(of("b").join(few(pairs.select("b")), "b", "left_semi"), F.col("n_b") * SKETCH_BITS / 4 + 96)
+    both = of("a").join(few(pairs.select("a", "b")), "a").join(of_b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "n_a", "n_b", "band_a", "band_b", "sk_a", "sk_b", "sk_low_a", "sk_low_b").mapInArrow(run, "a long, b long")
 
 
@@ -302,29 +335,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
         give_back()
 
-    left = saved(may_link(pairs, sets, percent).distinct())
+    left = saved(gathered(may_link(pairs, sets, percent).distinct(), pairs.count()))
     few = F.broadcast if left.count() <= BROADCAST_ROWS else lambda df: df
     of_a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")).join(few(left), "a")
-    of_b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")).join(few(left.select("b")), "b", "left_semi")
+    of_b = light(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(few(left.select("b")), "b", "left_semi"), F.col("nb") * 8 + 96)
     return of_a.join(of_b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sets: DataFrame, most: int, percent: int) -> DataFrame:
+def across(members: DataFrame, rows: int, sets: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): pairs of different components in one bucket that sketches can't rule out.
 
-    ``members`` is (bid, cls, comp) of buckets with several components. For a class
+    ``members`` is (bid, cls, comp) of buckets with several components, ``rows`` of them. For a class
     and a foreign component the ``most`` closest are returned; ``more`` marks pairs
     of which further ones were left for a later round.
 
     A bucket is of one scheme, so its members are of that scheme's band or the next
     one, and all have a sketch of the lowest band among them: only that one travels.
     """
-    banded = members.join(sets.select("cls", "band"), "cls")
+    few = F.broadcast if rows * NAMED <= BROADCAST_ROWS else lambda df: df
+    banded = sets.select("cls", "band").join(few(members), "cls")
     size = banded.groupBy("bid").agg(F.count("*").alias("rows"), F.min("band").alias("least"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = (
-        banded.join(size, "bid")
+        banded.join(few(size), "bid")
         .where("band <= least + 1")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
@@ -333,7 +367,7 @@ def across(members: DataFrame, sets: DataFrame, most: int, percent: int) -> Data
     )
     # a class is in as many buckets as its scheme has segments at most
     named = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("bid")), 1, NAMED).alias("named"))
-    about = sets.select("cls", F.col("n").cast("int").alias("n"), "sk", "sk_low").join(named, "cls")
+    about = sets.select("cls", F.col("n").cast("int").alias("n"), "sk", "sk_low").join(few(named), "cls")
     rows = dealt.join(about, "cls").withColumn("sk", F.expr("if(own, sk, sk_low)")).where("sk is not null")
     rows = rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "sk", "named").repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
 
@@ -404,10 +438,12 @@ def shared_buckets(docs: DataFrame, schemes: list[Scheme], size: int, moved: dic
     rows = indexed(docs, schemes, size, moved)
     common = saved(rows.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("sig", "low"))
     cleared(docs.sparkSession)
-    members = saved(rows.join(small(common), "sig").distinct())
+    n = common.count()
+    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    members = saved(indexed(docs, schemes, size, moved, marked(common, n)).join(few(common), "sig").distinct())
     cleared(docs.sparkSession)
     kinds = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.hash("cls")).alias("y"), F.count("*").alias("size"))
-    buckets = saved(members.join(kinds, "sig").select(F.xxhash64("x", "y", "low", "size").alias("bid"), "cls", "low", "size").distinct())
+    buckets = saved(members.join(few(kinds), "sig").select(F.xxhash64("x", "y", "low", "size").alias("bid"), "cls", "low", "size").distinct())
     release(common, members)
     return buckets
 
@@ -439,52 +475,55 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stars = others.groupBy(F.col("cls").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     twos = others.where("size = 2").select(F.col("low").alias("a"), F.col("cls").alias("b"))
     labels = candidates.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
-    for pairs in (stars, twos.distinct()):  # the second only where the first has not settled it
+    for pairs, first in ((stars, True), (twos.distinct(), False)):  # the second only where the first has not settled it
         cleared(docs.sparkSession)
-        apart = pairs.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb").select("a", "b")
-        links = saved(verified(saved(apart), sets, percent))
+        pairs = saved(pairs)
+        apart = pairs if first else saved(labelled(pairs, labels))
+        links = saved(gathered(verified(apart, sets, percent), apart.count()))
         cleared(docs.sparkSession)
         labels = merged(labels, links)
 
     members, most_each, turn, drawn = buckets.where("size > 2").select("bid", "cls"), 8, 0, ANCHORS_PAY <= 1
+    n_members = members.count()
     unsettled = None  # after a full comparison, the components between which pairs were left
     while True:
         turn += 1
-        tagged = members.select("bid", "cls").join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls")
+        tagged = members.select("bid", "cls").join(small(labels).select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls")
         if unsettled is not None:
             tagged = tagged.join(small(unsettled), "comp", "left_semi")
         draw = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("anchor"), F.col("comp").alias("anchor_comp")))
-        open_ = tagged.groupBy("bid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), draw.alias("draw")).where("c0 < c1")
+        open_ = saved(gathered(tagged.groupBy("bid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), draw.alias("draw")).where("c0 < c1").select("bid", "draw.*"), n_members))
         watch = Observation()
-        before, members = members, saved(tagged.join(open_.select("bid", "draw.*"), "bid"), watch, rows=F.count(F.lit(1)))
-        release(before)
+        before, members = members, saved(gathered(tagged.join(small(open_), "bid"), n_members), watch, rows=F.count(F.lit(1)))
+        release(before, open_)
         cleared(docs.sparkSession)  # what follows writes the most
-        if not watch.get["rows"]:
+        n_members = watch.get["rows"]
+        if not n_members:
             break
         met = Observation()
         if drawn:
             # a class is in as many buckets as its scheme has segments at most
             some = F.slice(F.array_sort(F.collect_set(F.struct("h", "anchor"))), 1, ANCHORS)
             apart = members.where("comp <> anchor_comp").groupBy("cls").agg(some.alias("some")).select("cls", F.explode("some.anchor").alias("anchor"))
-            pairs = saved(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct(), met, rows=F.count(F.lit(1)))
+            pairs = saved(gathered(apart.select(F.least("cls", "anchor").alias("a"), F.greatest("cls", "anchor").alias("b")).distinct(), n_members), met, rows=F.count(F.lit(1)))
         else:
-            pairs = saved(across(members.select("bid", "cls", "comp"), sets, most_each, percent))
+            pairs = saved(gathered(across(members.select("bid", "cls", "comp"), n_members, sets, most_each, percent), n_members))
         watch = Observation()
-        links = saved(verified(pairs.select("a", "b"), sets, percent), watch, rows=F.count(F.lit(1)))
+        links = saved(gathered(verified(pairs, sets, percent), pairs.count()), watch, rows=F.count(F.lit(1)))
         cleared(docs.sparkSession)
         if watch.get["rows"]:
             labels = merged(labels, links)
         if drawn:
             drawn = watch.get["rows"] >= ANCHORS_PAY * met.get["rows"]
         else:
-            left = pairs.where("more").select("a", "b").join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+            left = labelled(pairs.where("more"), labels)
             watch = Observation()
-            unsettled = saved(left.where("la <> lb").select(F.explode(F.array("la", "lb")).alias("comp")).distinct(), watch, rows=F.count(F.lit(1)))
+            unsettled = saved(left.select(F.explode(F.array("la", "lb")).alias("comp")).distinct(), watch, rows=F.count(F.lit(1)))
             if not watch.get["rows"]:
                 break
             most_each *= 16
 
-    of_class = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    of_class = classes.join(small(labels).withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = of_class.join(least, "label").select("cls", "component_id")
     release(buckets, sets, links, members)

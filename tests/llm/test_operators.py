@@ -526,6 +526,20 @@ def test_lm_classes_and_windows(spark, monkeypatch):
     assert all(np.array_equal(attention.from_rows(attention.as_rows(w), w)[k], w[k]) for k in w)
 
 
+def test_lm_is_fitted_on_every_window(spark, monkeypatch):
+    """Each token stands once in the corpus; all but the documents' last ones are a window's input, and all their embeddings move."""
+    monkeypatch.setattr(lm_score, "GROUP", 50)
+    docs = np.arange(3_200, dtype="<u2").reshape(40, 80)
+    rows = [(k, k == 39, d.tobytes()) for k, d in enumerate(docs)]
+    cls = np.arange(3_300) % (attention.HEAD + attention.TAIL)
+    class_sum = np.ones(attention.HEAD + attention.TAIL)
+    w = lm_score.fitted_weights(spark.createDataFrame(rows, "rid long, held_out boolean, ids binary").repartition(3), cls, class_sum)
+    start = attention.begin(cls, class_sum, np.random.default_rng(11))
+    moved = (w["emb"] != start["emb"]).any(axis=1)
+    assert moved[docs[:39, :-1].ravel()].all()
+    assert not moved[docs[39]].any()
+
+
 def naive_log_probs(model, ids, pad):
     """The model by its definition, token by token."""
     out = []

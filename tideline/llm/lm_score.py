@@ -7,11 +7,11 @@ text, whose bytes the ids give back). From the stored ids
    give token classes;
 2. one pass over all training documents counts words, and tokens after classes
    (:mod:`tideline.llm.attention`); both counts are combined before the shuffle;
-3. the attention model is fitted on windows drawn at one rate from all training
-   documents, so what it sees grows with them and no text is left out for its
-   length: a first group of windows gives weights, every group goes on from those in
-   a task of its own, and the groups' weights are averaged, an embedding by how often
-   each group met its token;
+3. the attention model is fitted on all windows of all training documents: weights
+   to go on from come of windows drawn at one rate, every training document is in
+   one group, each group goes on in a task of its own through each of its windows
+   once, and the groups' weights are averaged, an embedding by how often each group
+   met its token;
 4. one pass scores every document in overlapping windows, and sums the baseline
    over the words above a count that at most ``FREQUENT`` reach, a table
    of bounded size; the few other words are joined with the full word counts.
@@ -40,15 +40,15 @@ from pyspark.sql import functions as F
 from tideline.llm import attention
 from tideline.llm.arrowtext import SPACE_WORD, Chunk, give_back, map_chunks, mix, pieces
 from tideline.llm.bpe import encoder
-from tideline.llm.common import held_out, in_one_task, release, saved, table
+from tideline.llm.common import held_out, in_one_task, saved, table
 
 VOCABULARY = "byte_bpe_50k"
 #: The id after a text's last one, which no vocabulary has.
 END = 50_257
-#: Share of the windows of each training document that the attention model is fitted on; of a corpus with few, as many more as one group has.
-DRAWN = 1 / 32
-#: Windows that one task fits on: about what its steps draw.
+#: Windows that one task fits on, about; a document is in one group, however long.
 GROUP = 192_000
+#: Least share of the windows that the weights all groups go on from are fitted on; as many as one group has, if they are more.
+DRAWN = 0.0
 #: Words whose counts every task holds, at most.
 FREQUENT = 1 << 18
 _ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -209,32 +209,32 @@ def _of_group(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted_weights(rows: DataFrame, cls: np.ndarray, class_sum: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Weights fitted on all groups of drawn windows; the driver gets one set of weights, whatever the number of groups."""
+    """Weights fitted on every window of every training document; the driver gets one set of weights, whatever the number of groups."""
     size, dim = len(cls), attention.DIM
     total = rows.where("not held_out").agg(F.coalesce(F.sum(F.ceil(F.length("ids") / (2 * attention.HALF))), F.lit(0))).first()[0]
     share = min(1.0, max(DRAWN, GROUP / max(total, 1)))
-    groups = max(1, round(total * share / GROUP))
+    groups = max(1, -(-total // GROUP))
     start = attention.begin(cls, class_sum, np.random.default_rng(seed))
-    windows = saved(drawn_windows(rows, size, share, groups))
-    base = in_one_task(windows.where("g = 0"), lambda t: attention.fitted(start, *_of_group(t), cls, seed))
-    if groups == 1:
-        release(windows)
+    windows = drawn_windows(rows, size, share, 1)
+    base = in_one_task(windows, lambda t: attention.fitted(start, *_of_group(t), cls, seed))
+    if groups == 1:  # it has met all windows
         return base
     names = [f"v{k}" for k in range(dim)]
 
     def go_on(t: pa.Table) -> pa.Table:
-        context, target = _of_group(t)
+        ids, first = id_arrays(pa.array(sorted(t["ids"].to_pylist()), pa.large_binary()))  # in an order that doesn't depend on how they came
+        context, target, _ = attention.blocks(ids, first, size)
         flat = attention.as_rows(attention.fitted(base, context, target, cls, seed + t["g"][0].as_py(), again=True))
         weight = np.full(len(flat), len(context), np.float64)
         weight[: size + 1] = np.bincount(np.where(context < 0, size, context).ravel(), minlength=size + 1)
         k = np.flatnonzero(weight)
         return pa.table({"k": pa.array(k), "n": pa.array(weight[k])} | {c: pa.array(flat[k, i].astype(np.float64) * weight[k]) for i, c in enumerate(names)})
 
-    parts = windows.groupBy("g").applyInArrow(go_on, "k long, n double, " + ", ".join(f"{c} double" for c in names))
+    every = rows.where("not held_out").select(F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int").alias("g"), "ids")
+    parts = every.groupBy("g").applyInArrow(go_on, "k long, n double, " + ", ".join(f"{c} double" for c in names))
     got = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toArrow()
     mean = attention.as_rows(base).astype(np.float64)
     mean[got["k"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1) / got["n"].to_numpy()[:, None]
-    release(windows)
     return attention.from_rows(mean, base)
 
 

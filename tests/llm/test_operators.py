@@ -343,6 +343,31 @@ def test_join_without_broadcasts(spark, monkeypatch):
     test_join_near_the_threshold(spark, 3, 5, 80)
 
 
+def test_sketches_of_the_heavier_side_stay(spark, monkeypatch):
+    """One class met by very many: its sketch goes to theirs, none of theirs is shuffled, and the pairs that may link are the same."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = [base, *[np.unique(np.concatenate([base[k % 40 :], rng.integers(0, 1 << 63, 10 * (k % 12), dtype=np.uint64)])) for k in range(400)]]
+    schemes = [ngram_join.allocate(k, a, b, 400) for k, (a, b) in enumerate(ngram_join.bands(500))]
+    rows = []
+    for cls, s in enumerate(sets):
+        own = ngram_join.schemes_of(len(s), schemes)
+        sk = [ngram_join.sketch(s, x.words) for x in own]
+        rows.append((cls, len(s), own[0].band, sk[0].tobytes(), sk[1].tobytes() if len(own) > 1 else None))
+        for x, y in zip(sk, [ngram_join.sketch(base, x.words) for x in own], strict=True):
+            apart = int(np.bitwise_count(ngram_join.folded(x) ^ ngram_join.folded(y)).sum())
+            assert apart <= len(np.setxor1d(s, base)) and len(ngram_join.folded(x)) == -(-len(x) // 2)
+    table = common.saved(spark.createDataFrame(rows, "cls long, n long, band int, sk binary, sk_low binary"))
+    pairs = common.saved(spark.createDataFrame([(0, k) for k in range(1, 401)], "a long, b long"))
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 4_000)  # over the one class's sketches, far under the others'
+    got = ngram_join.may_link(pairs, table, 85)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and "ShuffledHashJoin" not in got._jdf.queryExecution().toString()
+    found = {(r.a, r.b) for r in got.collect()}
+    assert {(0, k) for k in range(1, 401) if ngram_join.linked(base, sets[k])} <= found and len(found) < 400
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", -1)
+    assert {(r.a, r.b) for r in ngram_join.may_link(pairs, table, 85).collect()} == found
+
+
 def test_signatures_of_one_class_are_not_shuffled_again(spark):
     """With the map of shared signatures, all of those are indexed again and next to none of the others."""
     rng = random.Random(8)

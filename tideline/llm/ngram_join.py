@@ -212,6 +212,12 @@ def sketch(s: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
+def folded(sk: np.ndarray) -> np.ndarray:
+    """A sketch of about half the bits: parities that were added up in pairs, so they still differ in no more places than the sets."""
+    half = len(sk) // 2
+    return np.concatenate([sk[:half] ^ sk[half : 2 * half], sk[2 * half :]])
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link."""
     if not len(a) or not len(b):
@@ -274,7 +280,7 @@ def indexed(docs: DataFrame, schemes: list[Scheme], size: int, moved: dict[int,
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme], size: int, moved: dict[int, int]) -> DataFrame:
-    """(cls, n, band, s, sk, sk_low) of the wanted (doc_id, cls): the set and its sketches for its own and the lower band.
+    """(cls, n, band, s, sk, sk_low, half, half_low) of the wanted (doc_id, cls): the set, its sketches for its own and the lower band, and those folded.
 
     A repeated row gives its class's row again, which does no harm: links are a set.
     """
@@ -284,12 +290,14 @@ def class_sets(docs: DataFrame, wanted: DataFrame, schemes: list[Scheme], size:
         for cls, s in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
             if len(s) and class_of(s, moved)[0] == cls:  # another text under the same id is another class
                 own = schemes_of(len(s), schemes)
-                rows.append((cls, len(s), own[0].band, s.tobytes(), sketch(s, own[0].words).tobytes(), sketch(s, own[1].words).tobytes() if len(own) > 1 else None))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                sketches = [sketch(s, x.words) for x in own]
+                lower = None if len(own) < 2 else sketches[1]
+                rows.append((cls, len(s), own[0].band, s.tobytes(), *(x if x is None else x.tobytes() for x in (sketches[0], lower, folded(sketches[0]), lower if lower is None else folded(lower)))))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *5 * [pa.binary()])
         columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cls", "n", "band", "s", "sk", "sk_low"])
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cls", "n", "band", "s", "sk", "sk_low", "half", "half_low"])
 
-    return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary")
+    return map_chunks(docs.join(small(wanted), "doc_id").select("doc_id", "text", "cls"), run, "cls long, n long, band int, s binary, sk binary, sk_low binary, half binary, half_low binary")
 
 
 def light(df: DataFrame, weight: Column) -> DataFrame:
@@ -298,32 +306,43 @@ def light(df: DataFrame, weight: Column) -> DataFrame:
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The stored (a, b) whose sizes and sketches allow a link."""
+    """The stored (a, b), a < b, whose sizes and sketches allow a link.
+
+    Sizes and bands are looked at first. Of what is left only the sketch of the lower
+    one of the two bands travels, and that of the side with fewer classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, ba, bb = (batch.column(k).to_numpy() for k in range(2, 6))
-            own, own_b, low, low_b = (batch.column(k) for k in range(6, 10))
+            nx, ny, low = (batch.column(k).to_numpy() for k in range(2, 5))
             keep = np.zeros(batch.num_rows, bool)
-            # in the lower one of the two bands, whose sketches have one size
-            for i_of, x_of, y_of in ((np.flatnonzero(ba == bb), own, own_b), (np.flatnonzero(ba == bb - 1), own, low_b), (np.flatnonzero(ba - 1 == bb), low, own_b)):
-                low_band = np.minimum(ba, bb)
-                for band in np.unique(low_band[i_of]):
-                    i = i_of[low_band[i_of] == band]
-                    x, y = x_of.take(pa.array(i)), y_of.take(pa.array(i))
-                    here = pc.and_(x.is_valid(), y.is_valid())
-                    i = i[here.to_numpy(zero_copy_only=False)]
-                    if len(i):
-                        x, y = (np.frombuffer(b"".join(z.filter(here).to_pylist()), _U).reshape(len(i), -1) for z in (x, y))
-                        keep[i] = np.bitwise_count(x ^ y).sum(axis=1) <= most_apart(na[i], nb[i], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for band in np.unique(low):  # whose sketches have one size
+                i = np.flatnonzero(low == band)
+                a, b = (np.frombuffer(b"".join(batch.column(k).take(pa.array(i)).to_pylist()), _U).reshape(len(i), -1) for k in (5, 6))
+                keep[i] = np.bitwise_count(a ^ b).sum(axis=1) <= most_apart(nx[i], ny[i], percent)
+            yield pa.record_batch({c: pc_of(batch.column(0), batch.column(1)).filter(pa.array(keep)) for c, pc_of in (("a", pc.min_element_wise), ("b", pc.max_element_wise))})
         give_back()
 
-    of = lambda c: sets.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "band", "sk", "sk_low")])
-    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
-    of_b = light(of("b").join(few(pairs.select("b")), "b", "left_semi"), F.col("n_b") * SKETCH_BITS / 4 + 96)
-    both = of("a").join(few(pairs.select("a", "b")), "a").join(of_b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "n_a", "n_b", "band_a", "band_b", "sk_a", "sk_b", "sk_low_a", "sk_low_b").mapInArrow(run, "a long, b long")
+    n_pairs = pairs.count()
+    few = F.broadcast if n_pairs <= BROADCAST_ROWS else lambda df: df
+    of = lambda c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("band").alias(f"band_{c}"))
+    sized = of("b").join(few(of("a").join(few(pairs.select("a", "b")), "a")), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where("abs(band_a - band_b) <= 1")
+    bytes_of = lambda n: F.coalesce(F.sum(F.col(n) * SKETCH_BITS / 8 + 64), F.lit(0.0))
+    watch = Observation()
+    sized = saved(gathered(sized.select("a", "b", "n_a", "n_b", F.least("band_a", "band_b").alias("low")), n_pairs), watch, a=bytes_of("n_a"), b=bytes_of("n_b"))
+    weight = watch.get
+    if min(weight.values()) > BROADCAST_BYTES:  # else it is small enough however often a class is in it
+        ends = [sized.select(F.lit(c).alias("end"), F.col(c).alias("cls"), F.col(f"n_{c}").alias("n"), "low") for c in "ab"]
+        weight = {r.end: r.bytes for r in ends[0].unionByName(ends[1]).distinct().groupBy("end").agg(bytes_of("n").alias("bytes")).collect()}
+    x, y = sorted("ab", key=lambda c: -weight[c])
+    ordered = sized.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"n_{x}").alias("nx"), F.col(f"n_{y}").alias("ny"), "low")
+    sketches = lambda c: sets.select(F.col("cls").alias(c), F.col("band").alias(f"band_{c}"), F.col("sk").alias(f"own_{c}"), F.col("sk_low").alias(f"lower_{c}"))
+    lower = lambda c: F.expr(f"if(band_{c} = low, own_{c}, lower_{c})").alias(f"sk_{c}")
+    # of a class that has pairs in two bands both sketches travel, as rows of their own
+    of_x = sketches("x").join(few(ordered), "x").select("x", "y", "nx", "ny", "low", lower("x")).where("sk_x is not null")
+    of_y = sketches("y").join(few(ordered.select("y", "low").distinct()), "y").select("y", "low", lower("y")).where("sk_y is not null")
+    light = F.broadcast if weight[y] <= BROADCAST_BYTES else lambda df: df
+    return of_x.join(light(of_y), ["y", "low"]).select("x", "y", "nx", "ny", "low", "sk_x", "sk_y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -350,7 +369,8 @@ def across(members: DataFrame, rows: int, sets: DataFrame, most: int, percent: i
     of which further ones were left for a later round.
 
     A bucket is of one scheme, so its members are of that scheme's band or the next
-    one, and all have a sketch of the lowest band among them: only that one travels.
+    one, and all have a sketch of the lowest band among them: only that one travels,
+    folded; :func:`may_link` holds the pairs it passes against the whole ones.
     """
     few = F.broadcast if rows * NAMED <= BROADCAST_ROWS else lambda df: df
     banded = sets.select("cls", "band").join(few(members), "cls")
@@ -367,13 +387,14 @@ def across(members: DataFrame, rows: int, sets: DataFrame, most: int, percent: i
     )
     # a class is in as many buckets as its scheme has segments at most
     named = members.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("bid")), 1, NAMED).alias("named"))
-    about = sets.select("cls", F.col("n").cast("int").alias("n"), "sk", "sk_low").join(few(named), "cls")
-    rows = dealt.join(about, "cls").withColumn("sk", F.expr("if(own, sk, sk_low)")).where("sk is not null")
-    rows = rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "sk", "named").repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
+    about = sets.select("cls", F.col("n").cast("int").alias("n"), "half", "half_low").join(few(named), "cls")
+    rows = dealt.join(about, "cls").withColumn("sk", F.expr("if(own, half, half_low)")).where("sk is not null")
+    # of the named buckets only those before this one are looked at
+    rows = rows.select("bid", "x", "y", "mine", "cls", "comp", "n", "sk", F.expr("filter(named, b -> b < bid)").alias("earlier")).repartition("bid", "x", "y").sortWithinPartitions("bid", "x", "y")
 
-    def compare(bid, x, y, mine, cls, comp, n, sketches, named) -> list[tuple[int, int, bool]]:
+    def compare(x, y, mine, cls, comp, n, sketches, earlier) -> list[tuple[int, int, bool]]:
         out = []
-        earlier = [{b for b in names if b < bid} for names in named]
+        earlier = [set(names) for names in earlier]
         for i in range(len(cls) - 1):
             rest = np.arange(i + 1, len(cls))
             rest = rest[comp[rest] != comp[i]]
@@ -401,7 +422,7 @@ def across(members: DataFrame, rows: int, sets: DataFrame, most: int, percent: i
         def answer(t: pa.Table) -> pa.RecordBatch:
             mine, cls, comp, n = (t[c].to_numpy() for c in ("mine", "cls", "comp", "n"))
             sketches = np.frombuffer(b"".join(t["sk"].to_pylist()), _U).reshape(len(cls), -1)
-            got = set(compare(*(t[c][0].as_py() for c in ("bid", "x", "y")), mine, cls, comp, n.astype(np.int64), sketches, t["named"].to_pylist()))
+            got = set(compare(*(t[c][0].as_py() for c in ("x", "y")), mine, cls, comp, n.astype(np.int64), sketches, t["earlier"].to_pylist()))
             a, b, more = zip(*sorted(got), strict=True) if got else ((), (), ())
             return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 

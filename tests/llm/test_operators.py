@@ -343,6 +343,16 @@ def test_join_without_broadcasts(spark, monkeypatch):
     test_join_near_the_threshold(spark, 3, 5, 80)
 
 
+def test_small_tables_take_few_files(spark):
+    """A small table between steps is written by as many tasks as there are cores, and by more only as it grows."""
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 1_000, 1, 8 * cores)
+    at = lambda rows: common.gathered(df, rows).rdd.getNumPartitions()
+    assert (at(0), at(1_000), at(common.FILE_ROWS * (cores + 1))) == (cores, cores, cores + 1)
+    assert at(common.BROADCAST_ROWS) == min(4 * cores, max(cores, common.BROADCAST_ROWS // common.FILE_ROWS))
+    assert at(common.BROADCAST_ROWS + 1) == 8 * cores
+
+
 def test_sketches_of_the_heavier_side_stay(spark, monkeypatch):
     """One class met by very many: its sketch goes to theirs, none of theirs is shuffled, and the pairs that may link are the same."""
     rng = np.random.default_rng(5)

@@ -155,6 +155,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of such a table that are worth a file of their own.
+FILE_ROWS = 20_000
+
+
 def gathered(df: DataFrame, rows: int) -> DataFrame:
     """``df`` of a few numbers for each of ``rows`` rows, in few partitions if they are few: each file costs a start of ``chmod`` on a local disk."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if rows <= BROADCAST_ROWS else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(min(4 * cores, max(cores, -(-rows // FILE_ROWS)))) if rows <= BROADCAST_ROWS else df

@@ -343,6 +343,16 @@ def test_join_without_broadcasts(spark, monkeypatch):
     test_join_near_the_threshold(spark, 3, 5, 80)
 
 
+def test_rows_are_summed_by_key():
+    """Gradients of tokens that a batch holds several times are added up, whatever their order."""
+    rng = np.random.default_rng(7)
+    keys, rows = rng.integers(0, 50, 400), rng.integers(-9, 10, (400, attention.DIM)).astype(np.float32)
+    table = np.zeros((50, attention.DIM), np.float32)
+    np.add.at(table, keys, rows)
+    got, sums = attention.summed_by(keys, rows)
+    assert (got == np.unique(keys)).all() and (sums == table[got]).all()
+
+
 def test_small_tables_take_few_files(spark):
     """A small table between steps is written by as many tasks as there are cores, and by more only as it grows."""
     cores = spark.sparkContext.defaultParallelism
